@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from domainforge.llm.decontaminate import op3_benchmark_decontamination
 from domainforge.llm.jaccard_join import op6_ngram_jaccard_join
+from domainforge.llm.lm_scoring import op10_lm_scoring
 from domainforge.llm.packing import op5_best_fit_packing
 from domainforge.llm.quality import op8_quality_classifier
 from domainforge.llm.secrets import op1_secret_scan
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_benchmark_decontamination, op5_best_fit_packing, op6_ngram_jaccard_join, op8_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_benchmark_decontamination, op5_best_fit_packing, op6_ngram_jaccard_join, op8_quality_classifier, op10_lm_scoring)}
 ORACLES: dict[str, str] = {}
