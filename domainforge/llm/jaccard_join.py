@@ -34,8 +34,9 @@ BUCKET_BYTES = 6 << 20
 NEIGHBOURHOOD_EVERY, SMALL_SET = 8, 40
 #: One bucket of signatures for so many bytes of sets.
 SIGNATURE_BYTES = 16 << 20
-#: A candidate component of at most so many sets is verified in one place; larger ones in pairs, as stars.
-FAMILY = 300
+#: A candidate component of at most so many shingles (8 bytes each) is verified in one place; larger ones in
+#: pairs, as stars.
+FAMILY = 6 << 20
 SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -305,24 +306,34 @@ def _similar(p: np.ndarray, q: np.ndarray) -> bool:
 def _family(found: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
     """The links that join the members of one small candidate component: every candidate pair is verified
     unless links found before connect its ends already."""
-    value = {c: np.frombuffer(x, np.uint64) for c, x in zip(sets["c"], sets["set"], strict=True)}
-    root = {c: c for c in value}
-
-    def find(c):
-        while root[c] != c:
-            root[c] = c = root[root[c]]
-        return c
-
-    pairs = set()
-    for members in {tuple(m) for m in found["members"]}:
-        for k, c in enumerate(members):
-            pairs.update((c, d) for d in members[k + 1 :])
-    out = []
-    for a, b in sorted(pairs):
-        x, y = find(a), find(b)
-        if x != y and fits(len(value[a]), len(value[b])) and _similar(value[a], value[b]):
-            root[max(x, y)] = min(x, y)
-            out.append((a, b))
+    sets = sets.sort_values("c")
+    ids = sets["c"].to_numpy()
+    value = [np.frombuffer(x, np.uint64) for x in sets["set"]]
+    size = np.array([len(v) for v in value])
+    label = np.arange(len(ids))
+    out, tried = [], set()
+
+    def meet(a: np.ndarray, b: np.ndarray) -> None:
+        """Verify the pairs whose ends are apart when their turn comes."""
+        for k in np.flatnonzero((label[a] != label[b]) & fits(size[a], size[b])).tolist():
+            x, y = int(a[k]), int(b[k])
+            if label[x] != label[y] and (x, y) not in tried:
+                tried.add((x, y))
+                if _similar(value[x], value[y]):
+                    label[label == label[y]] = label[x]
+                    out.append((ids[x], ids[y]))
+
+    is_list = found["members"].notna().to_numpy()
+    lists = sorted((np.searchsorted(ids, m) for m in found["members"][is_list]), key=len, reverse=True)
+    for own in lists:  # the longest first: their stars join most of a group of copies at once
+        meet(np.full(len(own) - 1, own[0]), own[1:])
+    pairs = np.unique(found.loc[~is_list, ["a", "b"]].to_numpy(np.int64).reshape(-1, 2), axis=0)
+    meet(np.searchsorted(ids, pairs[:, 0]), np.searchsorted(ids, pairs[:, 1]))
+    for own in lists:
+        if (label[own] != label[own[0]]).any():
+            for k in range(len(own) - 1):
+                rest = own[k + 1 :][label[own[k + 1 :]] != label[own[k]]]
+                meet(np.full(len(rest), own[k]), rest)
     return pd.DataFrame(out, columns=["a", "b"])
 
 
@@ -364,30 +375,38 @@ def similarity_components(docs: DataFrame, *, key: str = "doc_id", text: str = "
     found = materialize(rows.groupBy("bucket").applyInPandas(_candidates, "a long, b long, members array<long>"), "candidates")
     spokes = found.where("members is not null").select(F.element_at("members", 1).alias("a"), F.explode("members").alias("b"))
     family = components(found.where("a is not null").select("a", "b").unionAll(spokes)).select(F.col("node").alias("c"), F.col("component").alias("family"))
-    sized = materialize(family.join(family.groupBy("family").count(), "family"), "families")
+    family = family.join(sets.select("c", "n"), "c")
+    sized = materialize(family.join(family.groupBy("family").agg(F.sum("n").alias("count")), "family").drop("n"), "families")
     tagged = found.withColumn("c", F.coalesce("a", F.element_at("members", 1))).join(sized, "c").drop("c")
     with_sets = sets.join(sized.where(F.col("count") <= FAMILY).select("c", F.col("family").alias("of")), "c")
     # small families: resolved where they are
     n = max(narrow, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    small = tagged.where(F.col("count") <= FAMILY).select("family", F.coalesce("members", F.array("a", "b")).alias("members")).repartition(n, "family").groupBy("family")
+    small = tagged.where(F.col("count") <= FAMILY).select("family", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"), "members").distinct().repartition(n, "family").groupBy("family")
     links = small.cogroup(with_sets.repartition(n, "of").groupBy("of")).applyInPandas(lambda x, y: _family(x, y), "a long, b long")
-    # large ones: stars first, then only what is still apart
-    wide = tagged.where(F.col("count") > FAMILY)
-    stars = _verified(wide.where("a is not null").select("a", "b").distinct(), sets)
-    links = materialize(links.unionAll(stars), "links")
+    links = materialize(links, "links")
     label = components(links)
-    lists = wide.where("members is not null").select("members").distinct().select(F.xxhash64("members").alias("list"), F.explode("members").alias("c"))
-    open_lists = (
-        lists.join(label.select(F.col("node").alias("c"), "component"), "c", "left")
-        .join(sets.select("c", "n"), "c")
-        .groupBy("list")
-        .agg(F.collect_list(F.struct("c", "n", F.coalesce("component", "c").alias("label"))).alias("members"), F.min(F.coalesce("component", "c")).alias("lo"), F.max(F.coalesce("component", "c")).alias("hi"))
-        .where("lo <> hi")
-        .select("members")
-    )
-    more = materialize(_verified(open_lists.mapInPandas(_across, "a long, b long").distinct(), sets), "links")
-    if not more.isEmpty():
-        label = components(links.unionAll(more))
+    if not sized.where(F.col("count") > FAMILY).isEmpty():
+        # large ones: first one partner of each set, then the stars between what is apart, then the lists
+        wide = tagged.where(F.col("count") > FAMILY)
+        pairs = materialize(wide.where("a is not null").select("a", "b").distinct(), "pairs")
+        links = materialize(links.unionAll(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)), "links")
+        label = components(links)
+        x, y = (label.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
+        apart = pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        links = materialize(links.unionAll(_verified(apart, sets)), "links")
+        label = components(links)
+        lists = wide.where("members is not null").select("members").distinct().select(F.xxhash64("members").alias("list"), F.explode("members").alias("c"))
+        named = F.coalesce("component", "c")
+        open_lists = (
+            lists.join(label.select(F.col("node").alias("c"), "component"), "c", "left")
+            .join(sets.select("c", "n"), "c")
+            .groupBy("list")
+            .agg(F.collect_list(F.struct("c", "n", named.alias("label"))).alias("members"), F.min(named).alias("lo"), F.max(named).alias("hi"))
+            .where("lo <> hi")
+            .select("members")
+        )
+        links = materialize(links.unionAll(_verified(open_lists.mapInPandas(_across, "a long, b long").distinct(), sets)), "links")
+        label = components(links)
     class_label = classes.join(label.select(F.col("node").alias("h1"), "component"), "h1", "left").withColumn("root", F.coalesce("component", "h1"))
     named = class_label.groupBy("root").agg(F.min("id").alias("component_id"))
     by_class = class_label.join(named, "root").select("h1", "h2", "component_id")
