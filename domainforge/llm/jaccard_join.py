@@ -278,7 +278,7 @@ def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
         {
             "a": pd.concat([pd.Series(pairs[:, 0], dtype="Int64"), none], ignore_index=True),
             "b": pd.concat([pd.Series(pairs[:, 1], dtype="Int64"), none], ignore_index=True),
-            "members": [None] * len(pairs) + kept,
+            "members": pd.Series([None] * len(pairs) + kept, dtype=object),
         }
     )
 
