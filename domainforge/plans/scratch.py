@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 DIR_KEY = "spark.checkpoint.dir"
+#: Bytes a core where the optimizer has no estimate.
+UNKNOWN = 32 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -40,8 +42,11 @@ def discard(df: DataFrame) -> None:
 
 
 def size_hint(df: DataFrame) -> int:
-    """The optimizer's estimate of the plan's bytes. Only sizes partitions; results never depend on it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's estimate of the plan's bytes. Only sizes partitions; results never depend on it.
+
+    A plan on rows without statistics (made from an RDD or a list) counts as ``UNKNOWN`` a core."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 60 else df.sparkSession.sparkContext.defaultParallelism * UNKNOWN
 
 
 def pieces(df: DataFrame, each: int, least: int = 8, most: int = 200_000) -> int:
