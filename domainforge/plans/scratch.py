@@ -41,6 +41,11 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def size_hint(df: DataFrame) -> int:
     """The optimizer's estimate of the plan's bytes. Only sizes partitions; results never depend on it.
 
