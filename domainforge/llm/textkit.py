@@ -12,6 +12,9 @@ BYTE_KEY = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 GRAM_KEYS = _rng.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 
+#: Bytes of words that are hashed at once.
+HASH_CHARS = 1 << 19
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Word bytes by the definition: everything but ASCII white space.
@@ -92,16 +95,22 @@ class Words:
         if not len(self.first):
             return np.empty(0, np.uint64)
         lengths = self.last - self.first
-        chars = np.flatnonzero(inside)
-        starts = np.zeros(len(lengths), np.int64)
-        np.cumsum(lengths[:-1], out=starts[1:])
-        place = np.arange(len(chars)) - np.repeat(starts, lengths)
         power = np.ones(int(lengths.max()), np.uint64)
         power[1:] = PRIME
         np.multiply.accumulate(power, out=power)
-        value = BYTE_KEY[self.raw[chars]]
-        value *= power[place]
-        return mix(np.add.reduceat(value, starts) + lengths.astype(np.uint64) * PRIME)
+        out, total, a = np.empty(len(lengths), np.uint64), np.cumsum(lengths), 0
+        while a < len(lengths):  # so many words at once that the work arrays stay small
+            b = max(a + 1, int(np.searchsorted(total, total[a] + HASH_CHARS)))
+            own = lengths[a:b]
+            chars = np.flatnonzero(inside[self.first[a] : self.last[b - 1]])
+            starts = np.zeros(len(own), np.int64)
+            np.cumsum(own[:-1], out=starts[1:])
+            place = np.arange(len(chars)) - np.repeat(starts, own)
+            value = BYTE_KEY[self.raw[self.first[a] : self.last[b - 1]][chars]]
+            value *= power[place]
+            out[a:b] = np.add.reduceat(value, starts)
+            a = b
+        return mix(out + lengths.astype(np.uint64) * PRIME)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.row)
