@@ -17,6 +17,8 @@ from domainforge.llm import textkit as tk
 #: At most so many labelled documents fit the model: the bound of the fit.
 SAMPLE = 6000
 PASSAGE_BYTES = 512
+#: Text that is encoded at once, in whole documents.
+BLOCK_BYTES = 1 << 20
 BIGRAMS, EXTRA = 384, 6
 HIDDEN, GATE = 24, 16
 THRESHOLD = 0.7
@@ -135,7 +137,7 @@ def _features(text: str):
 
     def run(batches):
         for batch in batches:
-            for part in tk.blocks(batch, text):
+            for part in tk.blocks(batch, text, BLOCK_BYTES):
                 x, cut = passages(*tk.text_buffers(part.column(part.schema.get_field_index(text))))
                 rows = [x[cut[k] : cut[k + 1]].astype(np.float16).tobytes() for k in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("label")), pa.array(np.diff(cut), pa.int32()), pa.array(rows, pa.binary())], schema=schema)
@@ -161,7 +163,7 @@ def _scorer(model, text: str, schema: pa.Schema):
     def run(batches):
         known = model.value
         for batch in batches:
-            for part in tk.blocks(batch, text):
+            for part in tk.blocks(batch, text, BLOCK_BYTES):
                 x, cut = passages(*tk.text_buffers(part.column(part.schema.get_field_index(text))))
                 score = known.forward(x, cut)[0].astype(np.float64) if known else np.full(part.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], schema=schema)
