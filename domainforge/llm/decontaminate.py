@@ -103,7 +103,7 @@ def _searcher(tests, text: str, schema: pa.Schema):
     def run(batches):
         known: TestSet = tests.value
         for batch in batches:
-            for part in tk.blocks(batch, text, 8 << 20):
+            for part in tk.blocks(batch, text, 2 << 20):
                 words = tk.Words(*tk.text_buffers(part.column(part.schema.get_field_index(text))), tk.ALNUM)
                 shard = Shard(words, known.vocabulary)
                 marks = np.zeros(len(words.hash) + 1, np.int64)

@@ -31,6 +31,8 @@ MAYBE = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']? *[:=]|akia
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLE_TEXTS = 2000
 MIN_TOKEN = 20
+#: Text that is scanned at once, in whole documents.
+BLOCK_BYTES = 1 << 20
 #: Log-likelihood ratio, in nats: evidence of about e**12 to 1 for a random string.
 THRESHOLD = 12.0
 
@@ -125,7 +127,7 @@ def _scanner(model, text: str, out_schema: pa.Schema):
     def run(batches):
         known = model.value
         for batch in batches:
-            for part in tk.blocks(batch, text):
+            for part in tk.blocks(batch, text, BLOCK_BYTES):
                 at = part.schema.get_field_index(text)
                 column = part.column(at)
                 marked = _suspects(column)
