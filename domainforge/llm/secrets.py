@@ -145,10 +145,9 @@ def _scanner(model, text: str, out_schema: pa.Schema):
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE_TEXTS) -> SecretModel:
     """Models from labelled samples: random strings, and identifiers of the words of at most ``sample`` texts
     (the bound of this fit), chosen by hash. Words inside pattern matches are left out."""
-    rows = docs.select(F.col(text).alias("t")).where("t is not null").orderBy(F.xxhash64("t")).limit(sample).collect()
     words: dict[str, None] = {}
-    for r in rows:
-        clean = HEX.sub(" ", ACCESS.sub(" ", ASSIGN.sub(" ", r.t)))
+    for t in tk.sample_texts(docs, text, sample):
+        clean = HEX.sub(" ", ACCESS.sub(" ", ASSIGN.sub(" ", t)))
         words.update(dict.fromkeys(re.findall(r"[A-Za-z]{3,}", clean)))
     return SecretModel(random_strings(), identifiers(list(words)[:20000] or ["value", "name", "index"]))
 

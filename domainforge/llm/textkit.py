@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _rng = np.random.default_rng(20_240_229)
 BYTE_KEY = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -25,6 +27,17 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
 
+def sample_texts(df: DataFrame, text: str, most: int) -> list[str]:
+    """At most ``most`` distinct texts, those of the smallest hashes. Hashes alone are ordered, so no partition
+    sends more than its own share of the sample's texts."""
+    hashed = df.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    last = hashed.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    rows = hashed.where(F.col("h") <= last).groupBy("h").agg(F.min("t").alias("t")).collect()
+    return [r.t for r in sorted(rows, key=lambda r: r.h)]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x.astype(np.uint64, copy=True)
