@@ -10,6 +10,8 @@ within their length.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import defaultdict
 
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from domainforge.llm import textkit as tk
 from domainforge.plans.scratch import materialize
 
 CAPACITY = 1024
@@ -27,7 +30,12 @@ END_ID = 2
 #: Pieces longer than this share of a sequence are grouped; shorter ones are placed last.
 LARGE_SHARE = 6
 GROUPS = 48
-CACHE = 300_000
+#: Encoded words that a task keeps, and words that are encoded at once.
+CACHE, BATCH = 150_000, 2_000
+#: Text that is cut into pieces at once, in whole documents.
+BLOCK_BYTES = 1 << 20
+#: Where every text may be cut before it is encoded.
+CUT = re.compile(r"(?<=\S)(?= [A-Za-z0-9])")
 
 
 # ---- the plan on a histogram ----
@@ -211,44 +219,32 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
 
 class Encoder:
     """Ids of a byte-level BPE vocabulary file, as the tokenizers library gives them. The pre-tokenizer always
-    cuts before a space with a word behind it, so words are encoded once and kept."""
+    cuts before a space that stands behind a non-space and before a letter or digit, so texts are cut there,
+    and what is between two cuts is encoded once and kept."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
-    def _of(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+    def _learn(self, parts: list[str]) -> None:
+        fresh = list(dict.fromkeys(p for p in parts if p not in self.known))
+        for k in range(0, len(fresh), BATCH):
+            some = fresh[k : k + BATCH]
+            for part, made in zip(some, self.whole.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[part] = np.array(made.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out: list = [None] * len(texts)
-        cut, plain, odd = [], [], []
-        fresh: dict[str, None] = {}
-        known = self.known
-        for k, text in enumerate(texts):
-            words = text.split(" ")
-            if "" in words[1:] or any(w[:1].isspace() for w in words[1:] if w and not w[0].isalnum()):
-                odd.append(k)
-                continue
-            parts = [words[0], *(" " + w for w in words[1:])] if words[0] else [" " + w for w in words[1:]]
-            plain.append(k)
-            cut.append(parts)
-            for w in parts:
-                if w not in known:
-                    fresh[w] = None
-        if fresh:
-            names = list(fresh)
-            known.update(zip(names, self._of(names), strict=True))
-        for k, parts in zip(plain, cut, strict=True):
-            out[k] = b"".join([known[w] for w in parts])
-        if odd:
-            for k, ids in zip(odd, self._of([texts[k] for k in odd]), strict=True):
-                out[k] = ids
-        if len(known) > CACHE:
-            self.known = {}
+        out = []
+        for text in texts:
+            parts = CUT.split(text)
+            self._learn(parts)
+            out.append(b"".join([self.known[p] for p in parts]))
+            if len(self.known) > CACHE:
+                self.known.clear()
         return out
 
 
@@ -261,8 +257,7 @@ def _pieces(path: str, capacity: int, end: int):
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for part in tk.blocks(batch, "text", BLOCK_BYTES):
                 rows: list[tuple] = []
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
