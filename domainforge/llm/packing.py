@@ -31,10 +31,11 @@ END_ID = 2
 LARGE_SHARE = 6
 GROUPS = 48
 #: Encoded words that a task keeps, and words that are encoded at once.
-CACHE, BATCH = 150_000, 2_000
+CACHE, BATCH = 400_000, 2_000
 #: Text that is cut into pieces at once, in whole documents.
 BLOCK_BYTES = 1 << 20
 #: Where every text may be cut before it is encoded.
+LOOSE = re.compile(r"\s\s|^\s|\s\Z")
 CUT = re.compile(r"(?<=\S)(?= [A-Za-z0-9])")
 
 
@@ -230,7 +231,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, parts: list[str]) -> None:
-        fresh = list(dict.fromkeys(p for p in parts if p not in self.known))
+        fresh = list(set(parts).difference(self.known))
         for k in range(0, len(fresh), BATCH):
             some = fresh[k : k + BATCH]
             for part, made in zip(some, self.whole.encode_batch_fast(some, add_special_tokens=False), strict=True):
@@ -240,9 +241,13 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text."""
         out = []
         for text in texts:
-            parts = CUT.split(text)
+            if LOOSE.search(text):
+                parts = CUT.split(text)
+            else:  # every space stands between two non-spaces, and is a place to cut
+                first, *rest = text.split(" ")
+                parts = [first, *[" " + w for w in rest]]
             self._learn(parts)
-            out.append(b"".join([self.known[p] for p in parts]))
+            out.append(b"".join(map(self.known.__getitem__, parts)))
             if len(self.known) > CACHE:
                 self.known.clear()
         return out
