@@ -246,6 +246,20 @@ def test_language_model(spark, corpus):
     assert all(r.train_tokens == n and np.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def test_language_model_long_word(spark, corpus):
+    """A held-out word of more than 65,535 subwords is scored whole and leaves the scores of all others alone."""
+    r = random.Random(11)
+    word = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(300_000))
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    schema, learned = "doc_id long, text string", F.col("doc_id") < 100_000
+    plain = spark.createDataFrame(corpus, schema)
+    long = spark.createDataFrame([*corpus, (100_000, word), (100_001, word[:3000])], schema)
+    want = {x.doc_id: x.score for x in lm_scoring.score_texts(plain, path, train_rows=learned).collect()}
+    got = {x.doc_id: x.score for x in lm_scoring.score_texts(long, path, train_rows=learned).collect()}
+    assert all(abs(got[d] - s) < 1e-3 * (1 - s) for d, s in want.items())
+    assert got[100_000] < 50 * got[100_001]
+
+
 def test_windows_score_once():
     stream = np.arange(1, 101)
     cut = np.array([0, 1, 50, 50, 100])
