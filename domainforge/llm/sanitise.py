@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and terms whose co-occurrence in the corpus gives a protected entity away.
 
-A term t discloses an entity kind c by its pointwise mutual information relative to the information content
-of the kind: PMI(t; c) / IC(c), which is 1 when t occurs with c only. In documents that hold an entity, terms at
-or above the threshold are generalised, and terms that are (almost) conclusive are removed. Everything runs as
-DataFrame expressions.
+A term t discloses a protected entity c by its pointwise mutual information relative to the information content
+of the entity: PMI(t; c) / IC(c), which is 1 when t occurs with c only. Protected are the single values (one
+address, by hash) and the kinds (any address). A ratio counts only where so many common documents are not to be
+expected by chance, given how many pairs are tried. Disclosing terms are generalised in all documents, and terms
+that are (almost) conclusive are removed. Everything runs as DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ PATTERNS = {
 }
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 NOT_LETTER = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-MIN_TERM, MIN_SUPPORT = 3, 12
+MIN_TERM = 3
+#: Expected number of pairs, among all that are tried, whose common documents would be as many by chance.
+CHANCE = 0.05
 #: Disclosure ratios from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.8, 0.97
 
@@ -84,35 +87,57 @@ def entities(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
     return materialize(found.select("id", F.xxhash64("text").alias("th"), "text", "base").dropDuplicates(["id", "th"]), "entities")
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, *, text: str = "text", generalise: float = GENERALISE, support: int = MIN_SUPPORT) -> DataFrame:
-    """(term hash, kind number, ratio) of the terms that disclose an entity kind, by document co-occurrence
-    over all of ``docs``; at least ``support`` documents must have both."""
-    hashes = lambda c: F.array_distinct(F.transform(F.filter(_terms(c), lambda w: F.length(w) >= MIN_TERM), lambda w: F.xxhash64(w)))
-    kinds = F.array_distinct(F.transform("base", lambda b: b["k"]))
-    with_kind = found.select(F.explode(kinds).alias("kind"), F.col("text"))
-    by_kind = with_kind.groupBy("kind").agg(F.count("*").alias("n_c"))
-    both = with_kind.select("kind", F.explode(hashes(F.col("text"))).alias("term")).groupBy("term", "kind").agg(F.count("*").alias("n_tc")).where(F.col("n_tc") >= support)
-    alone = docs.where(F.col(text).isNotNull()).select(F.explode(hashes(F.col(text).cast("string"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
-    total = docs.agg(F.count("*").alias("n"))
-    joined = both.join(alone, "term").join(F.broadcast(by_kind), "kind").join(F.broadcast(total))
+def _term_hashes(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.filter(_terms(text), lambda w: F.length(w) >= MIN_TERM), lambda w: F.xxhash64(w)))
+
+
+def _value_hash(kind: Column, value: Column) -> Column:
+    """One hash for all spellings of a value: addresses in lower case, numbers by their digits."""
+    return F.xxhash64(kind, F.when(kind < 2, F.lower(value)).otherwise(F.regexp_replace(value, "[^0-9]", "")))
+
+
+def _log_chance(common: Column, a: Column, b: Column, n: Column) -> Column:
+    """Chernoff's bound of the log-probability that ``a`` of ``n`` documents meet ``b`` others at least ``common`` times."""
+    p, q = common / a, b / n
+    rest = F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - q))).otherwise(0.0)
+    return F.when(p > q, -a * (p * F.log(p / q) + rest)).otherwise(0.0)
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, *, text: str = "text", generalise: float = GENERALISE, chance: float = CHANCE) -> DataFrame:
+    """(term hash, kind number, ratio) of the terms that disclose a value or a kind, by document co-occurrence
+    over all of ``docs``. Of a value in one document only nothing can be told: all words of it go with all others."""
+    value = lambda b: F.struct(b["k"].alias("kind"), _value_hash(b["k"], F.substring(F.col("text"), b["s"] + 1, b["e"] - b["s"])).alias("value"))
+    kind = lambda b: F.struct(b["k"].alias("kind"), F.lit(None).cast("long").alias("value"))
+    held = found.select("id", "th", F.explode(F.array_distinct(F.concat(F.transform("base", kind), F.transform("base", value)))).alias("of"))
+    by_entity = materialize(held.groupBy("of").agg(F.count("*").alias("n_c")).where(F.col("of.value").isNull() | (F.col("n_c") > 1)), "protected")
+    tried = held.join(by_entity.where("of.value is not null").select("of"), "of", "left_semi").groupBy("id", "th").agg(F.collect_list("of").alias("values")).toDF("_i", "_t", "values")
+    kinds = F.array_distinct(F.transform("base", kind))
+    with_entity = found.join(tried, F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")), "left").select(F.concat(kinds, F.coalesce("values", F.array().cast("array<struct<kind:int,value:bigint>>"))).alias("all"), "text")
+    terms = with_entity.select("all", F.explode(_term_hashes(F.col("text"))).alias("term"))
+    both = materialize(terms.select("term", F.explode("all").alias("of")).groupBy("term", "of").agg(F.count("*").alias("n_tc")), "common")
+    alone = docs.where(F.col(text).isNotNull()).select(F.explode(_term_hashes(F.col(text).cast("string"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    total, pairs = docs.agg(F.count("*").alias("n")), both.agg(F.count("*").alias("pairs"))
+    joined = both.join(alone, "term").join(by_entity, "of").join(F.broadcast(total)).join(F.broadcast(pairs))
     pmi, ic = F.log(F.col("n_tc") * F.col("n") / (F.col("n_t") * F.col("n_c"))), -F.log(F.col("n_c") / F.col("n"))
     ratio = F.when(ic > 0, pmi / ic).otherwise(0.0)
-    return joined.select("term", "kind", ratio.alias("ratio")).where(F.col("ratio") >= generalise)
+    log_chance = F.least(_log_chance(F.col("n_tc"), F.col("n_t"), F.col("n_c"), F.col("n")), _log_chance(F.col("n_tc"), F.col("n_c"), F.col("n_t"), F.col("n")))
+    sure = log_chance + F.log("pairs") <= F.log(F.lit(chance))
+    return joined.where(sure).select("term", F.col("of.kind").alias("kind"), ratio.alias("ratio")).where(F.col("ratio") >= generalise)
 
 
-def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, th, added): spans of disclosing terms in the texts that hold an entity of that kind; a span within
-    an entity is left out."""
+def term_spans(docs: DataFrame, terms: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, th, added): spans of disclosing terms in all texts that have one."""
+    source = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    ratios = F.broadcast(terms.groupBy("term").agg(F.max("ratio").alias("ratio")))
+    having = source.select("id", "th", F.explode(_term_hashes(F.col("text"))).alias("term")).join(ratios, "term", "left_semi").select(F.col("id").alias("_i"), F.col("th").alias("_t")).distinct()
+    texts = source.join(having, F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t"))).select("id", "th", "text").dropDuplicates(["id", "th"])
     between, words = F.split("text", r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", -1), F.regexp_extract_all("text", F.lit(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
-    rows = found.select("id", "th", "base", F.posexplode(F.arrays_zip(between.alias("gap"), words.alias("word"))).alias("pos", "m"))
+    rows = texts.select("id", "th", F.posexplode(F.arrays_zip(between.alias("gap"), words.alias("word"))).alias("pos", "m"))
     before = F.sum(F.length("m.gap") + F.coalesce(F.length("m.word"), F.lit(0))).over(W.partitionBy("id", "th").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
-    placed = rows.select("id", "th", "base", "pos", F.col("m.word").alias("word"), (F.coalesce(before, F.lit(0)) + F.length("m.gap")).cast("int").alias("s"))
+    placed = rows.select("id", "th", "pos", F.col("m.word").alias("word"), (F.coalesce(before, F.lit(0)) + F.length("m.gap")).cast("int").alias("s"))
     placed = placed.where(F.length("word") >= MIN_TERM).withColumn("term", F.xxhash64(F.lower("word")))
-    hit = placed.join(terms.groupBy("term").agg(F.collect_set("kind").alias("kinds"), F.max("ratio").alias("ratio")), "term")
-    end = F.col("s") + F.length("word")
-    apart = ~F.exists("base", lambda b: (b["s"] < end) & (F.col("s") < b["e"]))
-    hit = hit.where(apart & F.arrays_overlap("kinds", F.transform("base", lambda b: b["k"])))
-    return hit.groupBy("id", "th").agg(F.collect_list(F.struct(F.lit(4).alias("k"), F.col("s"), end.alias("e"), (F.col("ratio") >= REMOVE).alias("drop"))).alias("added"))
+    hit = placed.join(ratios, "term")
+    return hit.groupBy("id", "th").agg(F.collect_list(F.struct(F.lit(4).alias("k"), F.col("s"), (F.col("s") + F.length("word")).alias("e"), (F.col("ratio") >= REMOVE).alias("drop"))).alias("added"))
 
 
 def _joined(spans: Column) -> Column:
@@ -123,14 +148,17 @@ def _joined(spans: Column) -> Column:
 def find_private(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs`` with _base, an array of (k, s, e), and _added, an array of (k, s, e, drop).
 
-    A null text is empty. Repeated rows have the same spans. Texts without an entity have no spans at all.
+    A null text is empty. Repeated rows have the same spans. A term's span within an entity is left out.
     Columns of the input with these names are replaced."""
     docs = docs.drop("_base", "_added")
     found = entities(docs, key=key, text=text)
     terms = materialize(disclosing_terms(docs, found, text=text), "terms")
-    added = term_spans(found, terms)
-    spans = found.select("id", "th", "base").join(added, ["id", "th"], "left")
-    spans = materialize(spans.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("base").alias("_base"), F.coalesce("added", F.array().cast("array<struct<k:int,s:int,e:int,drop:boolean>>")).alias("_added")), "spans")
+    added = term_spans(docs, terms, key=key, text=text)
+    none, plain = F.array().cast("array<struct<k:int,s:int,e:int,drop:boolean>>"), F.array().cast("array<struct<k:int,s:int,e:int>>")
+    spans = found.select("id", "th", "base").unionByName(added, allowMissingColumns=True)
+    spans = spans.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.coalesce(F.first("base", True), plain).alias("_base"), F.coalesce(F.first("added", True), none).alias("_added"))
+    apart = F.filter("_added", lambda a: ~F.exists("_base", lambda b: (b["s"] < a["e"]) & (a["s"] < b["e"])))
+    spans = materialize(spans.withColumn("_added", apart), "spans")
     hashed = docs.withColumn("_th_of", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
     joined = hashed.join(spans, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_th_of") == F.col("_th")), "left")
     return joined.drop("_id", "_th", "_th_of").withColumn("_base", F.coalesce("_base", F.array().cast("array<struct<k:int,s:int,e:int>>"))).withColumn("_added", F.coalesce("_added", F.array().cast("array<struct<k:int,s:int,e:int,drop:boolean>>")))

@@ -93,6 +93,17 @@ def test_disclosing_terms(spark):
     assert all(("@" not in r.t and "klondike" not in r.t) if r.doc_id < 100 else r.t == r.text for r in clean)
 
 
+def test_terms_disclose_one_value(spark):
+    """A term that goes with one person's address is found from three documents on, also where no address is."""
+    r = random.Random(12)
+    text = lambda k: " ".join(r.choice(["river", "stone", "winter", "paper", "road", "letter"]) for _ in range(12)) + f" word{k}"
+    rows = [(k, text(k)) for k in range(600)] + [(700 + k, f"{text(k)} user{k}@mail.org") for k in range(60)]
+    rows += [(800 + k, f"{text(k)} Zanzibar jane@x.org") for k in range(3)] + [(900, text(1) + " zanzibar again"), (None, "a zanzibar without")]
+    found = {x.doc_id: x for x in sanitise.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, t in rows:
+        assert {t[a.s : a.e].lower() for a in found[d]._added} == ({"zanzibar"} if "zanzibar" in t.lower() else set()), d
+
+
 def test_decontamination_blocks(spark, awkward, corpus):
     """Against brute force, with the benchmark in one block and in many."""
     docs = spark.createDataFrame(corpus, "doc_id long, text string")
