@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-label|itemprop)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Content that is never text.
-RAW = frozenset("script style noscript template iframe object textarea svg math canvas select title".split())
+#: Content that is never text and holds no tags.
+RAW = frozenset("script style textarea template title".split())
+#: Roots of foreign content, where a self-closed tag is empty, and its parts that hold HTML again.
+FOREIGN, HTML_AGAIN = frozenset(("svg", "math")), frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+#: Tags that end foreign content left open.
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody"}, "body": {"head"}}
@@ -47,7 +51,7 @@ def dom(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     stack: list[tuple[str, int]] = [("html", 0)]
     texts: list[tuple[int, str]] = []
     at, link, size = 0, 0, len(source)
-    new_block = True
+    new_block, embedded = True, False
 
     def text(part: str) -> None:
         nonlocal new_block
@@ -96,6 +100,13 @@ def dom(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if k > 0:
                 pop_to(k)
             continue
+        foreign = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in FOREIGN or stack[k][0] in HTML_AGAIN), 0) if embedded else 0
+        if foreign and stack[foreign][0] in FOREIGN and tag in BREAKS_OUT:
+            pop_to(foreign)
+            foreign = 0
+        if m[2].endswith("/") and (tag in FOREIGN or (foreign and stack[foreign][0] in FOREIGN)):
+            continue
+        embedded = embedded or tag in FOREIGN
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             at = end.end() if end else size

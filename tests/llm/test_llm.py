@@ -321,3 +321,18 @@ def test_extraction(spark):
     nodes, texts = extract.dom(fresh.page())
     kept = extract.decode(nodes, np.random.default_rng(0).normal(size=len(nodes)))
     assert all(kept[n.parent] for k, n in enumerate(nodes) if kept[k] and n.parent >= 0)
+
+
+def test_extraction_keeps_embedded_content():
+    """A self-closed or unclosed element swallows no text, and embedded content in an article is for the trees."""
+    trees = extract.train(250)
+    first, last = "The first of the paragraphs, with a number of words to read in it.", "The last paragraph of the page, which has words to read, too."
+    page = lambda inner: f'<html><body><nav class="menu"><a href="/">home</a></nav><article><p>{first}</p>{inner}<p>{last}</p></article></body></html>'
+    for inner in ('<svg width="1"/>', '<math alttext="x" />', '<svg><path d="M0"/>', "<noscript>", "<object>", "<canvas>", '<svg><g><path d="M0"/></g></svg>'):
+        assert extract.main_text(page(inner), trees) == f"{first} {last}", inner
+    inside = "A paragraph of some words that only readers without scripts get to see, and no others."
+    for tag in ("noscript", "object", "canvas"):
+        assert extract.main_text(page(f"<{tag}><p>{inside}</p></{tag}>"), trees) == f"{first} {inside} {last}", tag
+    assert "x" in [v for _, v in extract.dom("<p>a</p><math><mi>x</mi></math>")[1]]
+    for tag in ("script", "style", "textarea", "template", "title"):
+        assert extract.main_text(page(f"<{tag}>no text</{tag}>"), trees) == f"{first} {last}", tag
