@@ -19,7 +19,9 @@ from domainforge.plans.scratch import materialize
 
 #: Benchmark text in one broadcast. A larger benchmark is searched block by block.
 BLOCK_BYTES = 24 << 20
-STATE = ("_n_words", "_hits", "_items")
+STATE = ("_n_words", "_hits", "_items", "_near")
+#: Words by which a term may stand off its place, and terms that may be missing, in a proximity match.
+SLOP, MISSES = 3, 2
 
 
 class TestSet:
@@ -44,6 +46,10 @@ class TestSet:
         for k, w in enumerate(self.windows):
             self.matrix[k, : len(w)] = w
 
+    def allowed(self, misses: int) -> np.ndarray:
+        """How many terms of each window may be missing: none in windows of fewer than ten words."""
+        return np.where((self.matrix >= 0).sum(axis=1) >= 10, misses, 0)
+
 
 class Shard:
     """Positional postings of the test terms in some documents."""
@@ -73,22 +79,68 @@ class Shard:
             at = at[self.ids[at + k] == window[k]]
         return at[self.doc[at] == self.doc[at + len(window) - 1]] if len(at) else at
 
-    def near(self, window: np.ndarray, slop: int) -> np.ndarray:
-        """Positions of the rarest term around which every term lies at most ``slop`` words from its place
-        in the phrase, within one document."""
+    def near(self, window: np.ndarray, slop: int, misses: int = 0) -> np.ndarray:
+        """Positions of one of the ``misses`` + 1 rarest terms around which all terms but ``misses`` lie at most
+        ``slop`` words from their places in the phrase, within one document."""
         order = np.argsort(self.sizes[window], kind="stable")
-        at = self.list_of(window[order[0]])
-        for k in order[1:]:
-            if not len(at):
-                break
-            own, want = self.list_of(window[k]), at + (k - order[0])
-            left = np.searchsorted(own, want - slop)
-            keep = np.zeros(len(at), bool)
-            inside = left < len(own)
-            hit = own[np.minimum(left, len(own) - 1)] if len(own) else np.zeros(len(at), np.int64)
-            keep[inside] = (hit[inside] <= want[inside] + slop) & (self.doc[hit[inside]] == self.doc[at[inside]])
-            at = at[keep]
-        return at
+        out = []
+        for lead in order[: misses + 1]:
+            at = self.list_of(window[lead])
+            lost = np.zeros(len(at), np.int64)
+            for k in order:
+                if not len(at):
+                    break
+                if k == lead:
+                    continue
+                own, want = self.list_of(window[k]), at + (k - lead)
+                low = np.maximum(want - slop, self.row[self.doc[at]])
+                high = np.minimum(want + slop, self.row[self.doc[at] + 1] - 1)
+                left = np.searchsorted(own, low)
+                lost += (left >= len(own)) | (own[np.minimum(left, len(own) - 1)] > high) | (high < low) if len(own) else 1
+                at, lost = at[lost <= misses], lost[lost <= misses]
+            out.append(at)
+        return np.unique(np.concatenate(out))
+
+    def search_near(self, tests: TestSet, slop: int, misses: int) -> Iterator[tuple[int, np.ndarray]]:
+        if not tests.windows or not len(self.ids):
+            return
+        terms = np.maximum(tests.matrix, 0)
+        sizes = np.where(tests.matrix >= 0, self.sizes[terms], len(self.ids) + 1)  # filling comes last
+        allowed = tests.allowed(misses)
+        live = np.flatnonzero((sizes == 0).sum(axis=1) <= allowed)
+        order = np.argsort(sizes, axis=1, kind="stable")
+        length = len(self.ids)
+        keys = self.ids[self.postings] * length + self.postings
+        found: dict[int, list] = {}
+        for nth in range(misses + 1):
+            own = live[(allowed[live] >= nth) & (tests.matrix[live, order[live, nth]] >= 0)] if nth < order.shape[1] else live[:0]
+            lead = order[own, nth]
+            count = self.sizes[tests.matrix[own, lead]]
+            ends, s = np.cumsum(count), 0
+            while s < len(own):  # so many postings at once that the work arrays stay small
+                e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + 200_000)))
+                n = count[s:e]
+                window, place = np.repeat(own[s:e], n), np.repeat(lead[s:e], n)
+                at = self.postings[np.repeat(self.starts[tests.matrix[own[s:e], lead[s:e]]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                lost = np.zeros(len(at), np.int64)
+                for k in range(order.shape[1]):
+                    if not len(at):
+                        break
+                    col = order[window, k]
+                    term = tests.matrix[window, col]
+                    want = at + col - place
+                    low = np.maximum(want - slop, self.row[self.doc[at]])
+                    high = np.minimum(want + slop, self.row[self.doc[at] + 1] - 1)
+                    left = np.searchsorted(keys, term * length + low)
+                    none = (high < low) | (left >= len(keys)) | (keys[np.minimum(left, len(keys) - 1)] > term * length + high)
+                    lost += none & (term >= 0) & (col != place)
+                    keep = lost <= allowed[window]
+                    window, place, at, lost = window[keep], place[keep], at[keep], lost[keep]
+                for w in np.unique(window).tolist():
+                    found.setdefault(w, []).append(at[window == w])
+                s = e
+        for w, parts in found.items():
+            yield w, np.unique(np.concatenate(parts))
 
     def search(self, tests: TestSet) -> Iterator[tuple[int, np.ndarray]]:
         if not tests.windows or not len(self.ids):
@@ -99,7 +151,7 @@ class Shard:
                 yield k, at
 
 
-def _searcher(tests, text: str, schema: pa.Schema):
+def _searcher(tests, text: str, slop: int, misses: int, schema: pa.Schema):
     def run(batches):
         known: TestSet = tests.value
         for batch in batches:
@@ -113,11 +165,16 @@ def _searcher(tests, text: str, schema: pa.Schema):
                     np.add.at(marks, at + len(known.windows[k]), -1)
                     for d in np.unique(shard.doc[at]).tolist():
                         items.setdefault(d, set()).update(known.owners[k])
+                close: dict[int, set] = {}
+                for k, at in shard.search_near(known, slop, misses):
+                    for d in np.unique(shard.doc[at]).tolist():
+                        close.setdefault(d, set()).update(known.owners[k])
                 hit = np.cumsum(marks[:-1]) > 0
                 names = part.schema.names
                 old_hits = part.column(names.index("_hits")).to_pylist() if "_hits" in names else None
                 old_items = part.column(names.index("_items")).to_pylist() if "_items" in names else None
-                hits, found = [], []
+                old_near = part.column(names.index("_near")).to_pylist() if "_near" in names else None
+                hits, found, near = [], [], []
                 for d in range(part.num_rows):
                     own = hit[words.row[d] : words.row[d + 1]] if d in items else None
                     if old_hits and old_hits[d]:
@@ -125,14 +182,15 @@ def _searcher(tests, text: str, schema: pa.Schema):
                         own = before if own is None else own | before
                     hits.append(np.packbits(own).tobytes() if own is not None else b"")
                     found.append(sorted({known.names[i] for i in items.get(d, ())} | set(old_items[d] if old_items else ())))
+                    near.append(sorted({known.names[i] for i in close.get(d, ())} | set(found[-1]) | set(old_near[d] if old_near else ())))
                 kept = [part.column(k) for k, name in enumerate(names) if name not in STATE]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(words.counts(), pa.int64()), pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.string()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(words.counts(), pa.int64()), pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.string())), pa.array(near, pa.list_(pa.string()))], schema=schema)
 
     return run
 
 
 def _blocks(spark: SparkSession, benchmark: DataFrame, item: str, text: str, window: int, limit: int) -> Iterator[TestSet]:
-    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null").distinct()
+    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("i"), F.col(text).cast("string").alias("t")).distinct()
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     count = max(1, -(-total // limit))
     for k in range(count):
@@ -140,9 +198,10 @@ def _blocks(spark: SparkSession, benchmark: DataFrame, item: str, text: str, win
         yield TestSet([tuple(r) for r in part.collect()], window), k + 1 == count
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``_n_words``, ``_hits`` (bits of the words inside an occurring window, as bytes; empty: none)
-    and ``_items`` (names of the items with an occurring window).
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES, slop: int = SLOP, misses: int = MISSES) -> DataFrame:
+    """``docs`` with ``_n_words``, ``_hits`` (bits of the words inside an occurring window, as bytes; empty: none),
+    ``_items`` (names of the items with an occurring window) and ``_near`` (those and the items with a window that
+    all terms but ``misses`` approach to ``slop`` words; an item with a null id has the name "null").
 
     A null text has no words; an item without words has no windows; repeated rows are searched each for
     itself. The benchmark is read in blocks of about ``block_bytes`` text, so what is broadcast is bounded;
@@ -152,9 +211,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
     out = docs.drop(*STATE)
     for tests, last in _blocks(spark, benchmark, item, item_text, window, block_bytes):
         base = out.drop(*STATE)
-        schema = f"{_ddl(base)}, _n_words long, _hits binary, _items array<string>"
+        schema = f"{_ddl(base)}, _n_words long, _hits binary, _items array<string>, _near array<string>"
         arrow = _arrow(spark, schema)
-        out = out.mapInArrow(_searcher(spark.sparkContext.broadcast(tests), text, arrow), schema)
+        out = out.mapInArrow(_searcher(spark.sparkContext.broadcast(tests), text, slop, misses, arrow), schema)
         if not last:
             out = materialize(out, "decontaminate")
     return out
@@ -172,7 +231,7 @@ def _arrow(spark: SparkSession, ddl: str) -> pa.Schema:
 
 
 def contamination_report(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Per document: words, words inside a window, items and their digest."""
+    """Per document: words, words inside a window, items and their digest, items by proximity."""
     items = F.array_sort(F.array_distinct("_items"))
     return found.select(
         doc_id,
@@ -181,6 +240,7 @@ def contamination_report(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         (_ones("_hits") > 0).alias("contaminated"),
+        F.size(F.array_distinct("_near")).cast("long").alias("n_near"),
     )
 
 

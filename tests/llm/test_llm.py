@@ -149,6 +149,28 @@ def test_proximity():
     assert not len(shard.phrase(tests.windows[0])) and len(shard.near(tests.windows[0], 2)) == 1
 
 
+def test_proximity_matches(spark):
+    """Passages with words put in or changed are reported, across document bounds none; an item without id counts."""
+    import pyarrow as pa
+
+    from domainforge.llm import textkit as tk
+
+    words = tk.Words(*tk.text_buffers(pa.array(["x one", "two x x one x"])), tk.ALNUM)
+    tests = decontaminate.TestSet([("a", "one two")], 10)
+    near = decontaminate.Shard(words, tests.vocabulary)
+    assert not len(near.near(tests.windows[0], 2)) and len(near.near(tests.windows[0], 4)) == 1
+    words = tk.Words(*tk.text_buffers(pa.array(["a two", "two one"])), tk.ALNUM)  # the first posting in reach is another document's
+    assert len(decontaminate.Shard(words, tests.vocabulary).near(tests.windows[0], 2)) == 1
+    passage = [f"w{k}" for k in range(30)]
+    put_in = " ".join(w + " more" * (k % 5 == 4) for k, w in enumerate(passage))
+    changed = " ".join("other" if k % 5 == 4 else w for k, w in enumerate(passage))
+    docs = spark.createDataFrame([(1, put_in), (2, changed), (3, " ".join(passage[::-1])), (4, "no part of it"), (5, "some passage that has no number of its own")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(passage)), (None, "some passage that has no number of its own")], "item_id long, text string")
+    for limit in (1 << 20, 60):
+        got = {x.doc_id: x for x in decontaminate.find_contamination(docs, bench, block_bytes=limit).collect()}
+        assert {d: (x._items, x._near) for d, x in got.items()} == {1: ([], ["7"]), 2: ([], ["7"]), 3: ([], []), 4: ([], []), 5: (["null"], ["null"])}
+
+
 def test_jaccard_components(spark, corpus, awkward, nothing):
     rows = corpus + [(5000, None), (5001, "?"), (5002, "?")]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
