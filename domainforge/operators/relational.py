@@ -57,7 +57,8 @@ SQL: dict[str, str] = {
     "JOI-28": "SELECT l.nid, CASE WHEN k.nid IS NULL THEN 0 ELSE 100 END AS filter_level FROM lengths l LEFT JOIN (SELECT DISTINCT nid FROM known) k ON l.nid = k.nid",
     "JOI-29": "SELECT l.nid FROM lengths l WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.nid = l.nid) AND NOT EXISTS (SELECT 1 FROM masks m WHERE m.nid = l.nid AND m.method = 2)",
     "JOI-30": f"SELECT d.nid, d.family, r.family AS reference, d.s, d.e, r.s AS rs, r.e AS re, {D_R} AS common FROM domains d JOIN refs r ON d.nid = r.nid WHERE {D_R} > 5",
-    "JOI-31": "SELECT a.nid AS nid1, b.nid AS nid2, a.family, count(*) AS n FROM units a JOIN units b ON a.family = b.family AND a.nid < b.nid WHERE a.nid < 20 AND b.nid < 20 GROUP BY a.nid, b.nid, a.family",
+    "JOI-31": """WITH c AS (SELECT nid, family, count(*) AS n FROM units GROUP BY nid, family)
+        SELECT a.nid AS nid1, b.nid AS nid2, a.family, a.n * b.n AS n FROM c a JOIN c b ON a.family = b.family AND a.nid < b.nid""",
     "JOI-37": "SELECT nid, first_nid, CASE WHEN nid = first_nid THEN 'new' ELSE 'duplicate' END AS kind FROM (SELECT nid, min(nid) OVER (PARTITION BY md5(sequence)) AS first_nid FROM sequences) x",
     "JOI-38": "SELECT l.nid FROM lengths l LEFT JOIN (SELECT DISTINCT query_nid FROM links) q ON l.nid = q.query_nid WHERE q.query_nid IS NULL",
     "JOI-41": "SELECT count(*) AS nlinks, sum(CASE WHEN query_nid = sbjct_nid THEN 1 ELSE 0 END) AS self_links, count(DISTINCT query_nid) AS queries, count(DISTINCT sbjct_nid) AS sbjcts FROM links",
@@ -122,7 +123,7 @@ SQL: dict[str, str] = {
         FROM scored WINDOW w AS (ORDER BY value DESC, id ROWS UNBOUNDED PRECEDING)) x""",
     "WIN-23": "SELECT round(sum((x - lag_x) * (y + lag_y) / 2e0), 4) AS area FROM (SELECT x, y, lag(x) OVER (ORDER BY x) AS lag_x, lag(y) OVER (ORDER BY x) AS lag_y FROM (SELECT e - s AS x, count(*) AS y FROM domains GROUP BY e - s) p) q",
     "WIN-24": """SELECT family, nunits, round(1e0 * sum(known_) OVER w / count(*) OVER w, 8) AS fraction FROM (SELECT u.family, count(*) AS nunits, max(CASE WHEN k.nid IS NULL THEN 0 ELSE 1 END) AS known_
-        FROM units u LEFT JOIN (SELECT DISTINCT nid FROM known WHERE nid % 97 = 0) k ON u.nid = k.nid GROUP BY u.family) x WINDOW w AS (ORDER BY nunits DESC, family ROWS UNBOUNDED PRECEDING)""",
+        FROM units u LEFT JOIN (SELECT DISTINCT nid FROM known) k ON u.nid = k.nid GROUP BY u.family) x WINDOW w AS (ORDER BY nunits DESC, family ROWS UNBOUNDED PRECEDING)""",
     # ---- sorts ----
     "SRT-01": "SELECT q, t, weight, row_number() OVER (ORDER BY weight, q, t, naligned, passed) AS position FROM tested",
     "SRT-02": "SELECT query_nid, sbjct_nid, qs, ss, evalue FROM (SELECT l.*, row_number() OVER (PARTITION BY query_nid ORDER BY evalue, sbjct_nid, qs, qe, ss) AS k FROM links l) x WHERE k <= 10 AND query_nid <> sbjct_nid AND evalue <= -2",
@@ -225,7 +226,7 @@ SQL: dict[str, str] = {
     "MKF-06": """SELECT family, concat(CASE WHEN a > 2 THEN '1' ELSE '0' END, CASE WHEN b > 2 THEN '1' ELSE '0' END, CASE WHEN c > 2 THEN '1' ELSE '0' END) AS label FROM (SELECT u.family,
         sum(CASE WHEN n.n_regionkey = 0 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN n.n_regionkey = 1 THEN 1 ELSE 0 END) AS b, sum(CASE WHEN n.n_regionkey = 2 THEN 1 ELSE 0 END) AS c
         FROM units u JOIN assigned g ON g.nid = u.nid JOIN nation n ON n.n_nationkey = g.tax_id GROUP BY u.family) x""",
-    "MKF-08": "SELECT concat('>', CAST(s.nid AS VARCHAR(20)), '_', CAST(d.s AS VARCHAR(20)), ' ', d.family) AS title, substring(s.sequence, d.s + 1, d.e - d.s) AS slice FROM sequences s JOIN units d ON d.nid = s.nid WHERE d.nid < 40",
+    "MKF-08": "SELECT concat('>', CAST(s.nid AS VARCHAR(20)), '_', CAST(d.s AS VARCHAR(20)), ' ', d.family) AS title, substring(s.sequence, d.s + 1, d.e - d.s) AS slice FROM sequences s JOIN units d ON d.nid = s.nid",
     "MKF-10": "SELECT u.family, CAST(coalesce(x.nlinks, 0) AS BIGINT) AS nlinks FROM (SELECT DISTINCT family FROM domains) u LEFT JOIN (SELECT a.family, count(DISTINCT b.family) AS nlinks FROM domains a JOIN domains b ON a.nid = b.nid AND a.family <> b.family GROUP BY a.family) x ON x.family = u.family",
     "MKF-11": "SELECT nid FROM (SELECT DISTINCT nid, 1 AS k FROM domains UNION ALL SELECT DISTINCT nid, 2 FROM refs UNION ALL SELECT DISTINCT nid, 3 FROM known) x GROUP BY nid HAVING count(*) = 3",
     "MKF-16": "SELECT nid FROM domains GROUP BY nid HAVING count(*) = 1",

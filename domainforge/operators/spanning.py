@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +35,11 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return chosen
 
 
-def distances(edges: DataFrame, source, max_depth: int = 30) -> DataFrame:
+def distances(edges: DataFrame, source, max_depth: int | None = None) -> DataFrame:
     """(node, depth) of all nodes reachable from ``source`` by undirected edges (a, b)."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     seen = frontier = edges.sparkSession.createDataFrame([(source, 0)], f"node {dict(edges.dtypes)['a']}, depth int")
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         reached = frontier.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
         frontier = materialize(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), "path")
         if frontier.isEmpty():

@@ -32,8 +32,8 @@ VIEWS = {
     "assigned": "SELECT o_orderkey AS nid, c_nationkey AS tax_id FROM orders JOIN customer ON o_custkey = c_custkey",
     "masks": """SELECT l_orderkey AS nid, 15 * l_linenumber AS s, 15 * l_linenumber + 12 AS e, l_linenumber % 3 AS method FROM lineitem""",
     "known": "SELECT l_orderkey AS nid FROM lineitem WHERE l_quantity > 30",
-    "pvalues": "SELECT l_orderkey * 10 + l_linenumber AS id, (l_orderkey * 7919 + l_linenumber * 104729) % 10000 / 1e4 AS p FROM lineitem WHERE l_orderkey % 5 = 0",
-    "scored": "SELECT l_orderkey * 10 + l_linenumber AS id, CAST(floor(l_extendedprice) AS BIGINT) AS value, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS hit FROM lineitem WHERE l_orderkey % 10 = 0",
+    "pvalues": "SELECT l_orderkey * 10 + l_linenumber AS id, (l_orderkey * 7919 + l_linenumber * 104729) % 10000 / 1e4 AS p FROM lineitem",
+    "scored": "SELECT l_orderkey * 10 + l_linenumber AS id, CAST(floor(l_extendedprice) AS BIGINT) AS value, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS hit FROM lineitem",
 }
 
 

@@ -116,3 +116,21 @@ def test_every_oracle_has_its_query():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name, whole", [
+    ("JOI-31", "SELECT a.nid, b.nid, a.family FROM units a JOIN units b ON a.family = b.family AND a.nid < b.nid GROUP BY a.nid, b.nid, a.family"),
+    ("MKF-08", "SELECT 1 FROM sequences s JOIN units d ON d.nid = s.nid"), ("HST-19", "SELECT 1 FROM lineitem"), ("HST-29", "SELECT 1 FROM lineitem"), ("WIN-21", "SELECT 1 FROM lineitem"),
+])
+def test_whole_tables(spark, name, whole):
+    """Every row of the tables takes part, and DuckDB gives the same."""
+    from domainforge.operators.views import run_sql
+
+    assert catalog.QUERIES[name](spark, SMALL).count() == run_sql(spark, SMALL, whole).count()
+    test_against_duckdb(spark, name)
+
+
+def test_distances_to_the_end(spark, tmp_path):
+    lines = [(k, n + 1, k + n, 0.1) for k in range(12) for n in range(2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert dict(rows(catalog.QUERIES["GRF-13"](spark, str(tmp_path)), "node", "depth")) == {k: k for k in range(13)}
