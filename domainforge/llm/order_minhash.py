@@ -3,7 +3,9 @@
 A text's k-mers are its windows of three words. Equal k-mers are numbered by occurrence, each (k-mer, number)
 gets one hash; its low bits choose one of 32 sketches, the rest is its rank there. A sketch takes the two of
 lowest rank and hashes them in the order they have in the text, so moving a passage changes it where a set
-sketch would not see it. Everything runs as DataFrame expressions.
+sketch would not see it. A sketch that got fewer than two k-mers borrows the lowest of the next sketches, in a
+ring, so every sketch of a text with two k-mers is an ordered pair, in short texts too. Everything runs as
+DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -12,9 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from domainforge.plans.scratch import materialize, pieces
+from domainforge.plans.scratch import pieces
 
 KMER, SKETCHES = 3, 32
+#: Text to one shuffle partition, and the most id ranges (four to a partition).
+RANGE_BYTES, RANGES = 8 << 20, 1 << 15
+#: Rows of one id that are dealt over ``SALTS`` keys, if they are over a thousandth of all rows too.
+HOT, SALTS = 1000, 64
 
 
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -48,13 +54,15 @@ def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
     df = df.withColumn(s, F.filter(s, lambda x, i: F.coalesce(bucket(F.get(s, i - 2)) != bucket(x), F.lit(True))))
     place, rank = (lambda x: x.bitwiseAND(F.lit(0x3FFFFFF))), (lambda x: F.shiftrightunsigned(x, 26))
 
-    def entry(x: Column, i: Column) -> Column:
-        other = F.get(s, i + 1)
-        pair = F.when(other.isNull() | (bucket(other) != bucket(x)), F.xxhash64(rank(x))).when(place(x) < place(other), F.xxhash64(rank(x), rank(other))).otherwise(F.xxhash64(rank(other), rank(x)))
-        fresh = F.coalesce(bucket(F.get(s, i - 1)) != bucket(x), F.lit(True))
-        return F.when(fresh, F.shiftleft(bucket(x), 24).bitwiseOR(pair.bitwiseAND(F.lit(0xFFFFFF))))
+    def pair(x: Column, i: Column) -> Column:
+        other = F.when(i + 1 < F.size(s), F.get(s, i + 1)).otherwise(F.get(s, F.lit(0)))
+        return F.when(F.size(s) == 1, F.xxhash64(rank(x))).when(place(x) < place(other), F.xxhash64(rank(x), rank(other))).otherwise(F.xxhash64(rank(other), rank(x)))
 
-    return df.withColumn(name, F.filter(F.transform(s, entry), lambda x: x.isNotNull())).drop(w, g, s, o, n, f"_{name}_r")
+    # the first k-mer of a sketch, with the one behind it, also serves the empty sketches before it
+    serves = lambda x, i: bucket(x).cast("int") - F.when(i == 0, F.lit(-1)).otherwise(bucket(F.get(s, i - 1)).cast("int"))
+    df = df.withColumn(n, F.flatten(F.transform(s, lambda x, i: F.array_repeat(pair(x, i), serves(x, i)))))
+    ring = F.concat(n, F.array_repeat(F.get(n, F.lit(0)), SKETCHES - F.size(n)))
+    return df.withColumn(name, F.transform(ring, lambda x, i: F.shiftleft(i.cast("long"), 24).bitwiseOR(x.bitwiseAND(F.lit(0xFFFFFF))))).drop(w, g, s, o, n, f"_{name}_r")
 
 
 def fingerprint(sketch: Column) -> Column:
@@ -63,24 +71,21 @@ def fingerprint(sketch: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal sketches among those that either text has."""
-    number = lambda s: F.transform(s, lambda x: F.shiftrightunsigned(x, 24))
-    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(number(a), number(b)))
+    """Share of equal sketches."""
+    return F.size(F.array_intersect(a, b)) / F.lit(SKETCHES)
 
 
-def successors(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id, n_chars, th): for each id the next by descending id; the first follows the last.
+def _range_of(o: Column, cuts: list[int]) -> Column:
+    """How many of the ascending ``cuts`` lie below ``o``, by binary search."""
+    table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
 
-    Ids are dealt into ranges; a range is ordered by itself, and only one row of each range meets the others.
-    Of repeated ids the text with the largest hash stands for all."""
-    ids = docs.groupBy("doc_id").agg(F.max(F.struct(F.xxhash64("text").alias("th"), F.length("text").alias("n_chars"))).alias("m"))
-    dealt = ids.select("doc_id", "m.th", "m.n_chars").repartitionByRange(pieces(ids, 8 << 20), F.desc("doc_id")).withColumn("part", F.spark_partition_id())
-    dealt = materialize(dealt, "ranges")
-    tops = dealt.groupBy("part").agg(F.max("doc_id").alias("top"))
-    order = W.orderBy("part")  # one row for each range
-    tops = tops.select("part", F.coalesce(F.lead("top").over(order), F.first("top").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("after"))
-    within = dealt.withColumn("next_id", F.lead("doc_id").over(W.partitionBy("part").orderBy(F.desc("doc_id"))))
-    return within.join(F.broadcast(tops), "part").select("doc_id", F.coalesce("next_id", "after").alias("next_id"), "n_chars", "th")
+    def halve(a: Column, _: Column) -> Column:
+        mid = F.shiftright(a["lo"] + a["hi"], 1)
+        below = (a["lo"] < a["hi"]) & (F.get(table, mid) < o)
+        return F.struct(F.when(below, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(below, a["hi"]).otherwise(F.least(mid, a["hi"])).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), start, halve, lambda a: a["lo"])
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,24 +97,50 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """The contract's rows for ``docs`` (doc_id, text).
 
     A null text is empty, and an empty text has one empty k-mer. A row with a null id has no next document: its
-    second half is cut off, and its likeness to the next is null. Repeated ids give a row each."""
-    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = materialize(successors(docs.where("doc_id is not null")), "order")
-    # every chosen text gives its head to the document before it
-    wanted = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("target"), F.col("n_chars").alias("target_chars"))
-    donors = docs.join(wanted.join(order.select("doc_id", "th"), "doc_id"), "doc_id").where(F.xxhash64("text") == F.col("th"))
-    # a row may need more of the head than the chosen row of its id, so the head is as long as the longest needs
-    most = docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("most"))
-    heads = donors.join(most.withColumnRenamed("doc_id", "target"), "target").select(F.col("target").alias("doc_id"), "th", F.substring("text", F.lit(1), F.floor(F.col("most") / 2).cast("int")).alias("head"))
-    heads = heads.groupBy("doc_id").agg(F.max("head").alias("head"))
-    full = docs.join(heads, "doc_id", "left").withColumn("n_chars", F.length("text"))
+    second half is cut off, and its likeness to the next is null. Repeated ids give a row each, and of their
+    texts the one of the smallest hash is the next document of the id before. Other columns are ignored.
+
+    Ids are dealt into ranges, and texts meet their successors in one shuffle by range; only the first text of
+    each range meets the range before. Rows of an id that has over a thousandth of all rows stay where they are
+    and get their successor by a salted join."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.withColumn("o", F.bitwise_not("doc_id")).withColumn("th", F.xxhash64("text"))  # ascending o: descending id
+    parts = pieces(docs, RANGE_BYTES, most=RANGES // 4)
+    ids = docs.select("doc_id", "o").where("doc_id is not null")
+    share = F.split(F.lit(",".join(str(k / (4 * parts)) for k in range(1, 4 * parts))), ",").cast("array<double>")
+    cuts = sorted(set(ids.agg(F.percentile_approx("o", share, max(10_000, 16 * parts))).first()[0] or []))
+    each = ids.groupBy("doc_id").agg(F.count("*").alias("n"))
+    total, most = each.agg(F.sum("n"), F.max("n")).first()
+    hot = [r.doc_id for r in each.where(F.col("n") > max(total / 1000, HOT)).collect()] if (most or 0) > HOT else []
+
+    docs = docs.withColumn("range", _range_of(F.col("o"), cuts))
+    keyed = docs.where("doc_id is not null")
+    tops = keyed.groupBy("range").agg(F.min(F.struct("o", "th")).alias("t")).orderBy("range").collect()  # at most RANGES rows
+    after = [(r.range, q.t.o, q.t.th) for r, q in zip(tops, tops[1:] + tops[:1], strict=True)]
+    sketched = with_sketch(docs, "text", "a")
+    first = docs.sparkSession.createDataFrame(after, "of int, o long, th long")
+    edge = with_sketch(keyed.join(F.broadcast(first), ["o", "th"]).groupBy("of").agg(F.min("text").alias("edge")), "edge", "edge_a")
+
+    warm = sketched.where("doc_id is not null").withColumn("ghost", F.lit(False))
+    if hot:
+        one = sketched.where(F.col("doc_id").isin(hot)).groupBy("doc_id", "o", "range").agg(F.min(F.struct("th", "text", "a")).alias("m"))
+        one = one.select("doc_id", "m.text", "o", "m.th", "range", "m.a", F.lit(True).alias("ghost"))
+        warm = warm.where(~F.col("doc_id").isin(hot)).unionByName(one)
+    in_range = W.partitionBy("range").orderBy("o", "th")
+    led = warm.repartition(parts, "range").withColumn("m", F.lead(F.struct(F.col("text").alias("t"), F.col("a").alias("s"))).over(in_range))
+    if (most or 0) > 1:  # of repeated ids the last row meets the next id
+        led = led.withColumn("m", F.last("m").over(W.partitionBy("range", "o").orderBy("th").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    led = led.join(edge.hint("merge"), (F.col("range") == F.col("of")) & F.col("m").isNull(), "left")
+    led = led.select("doc_id", "text", "a", "ghost", F.coalesce("m.t", "edge").alias("next"), F.coalesce("m.s", "edge_a").alias("c"))
+    whole = led.where(~F.col("ghost")).drop("ghost")
+    if hot:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        wanted = led.where("ghost").select(F.col("doc_id").alias("id"), "next", "c", salts.alias("salt"))
+        salted = sketched.where(F.col("doc_id").isin(hot)).select("doc_id", "text", "a", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("s"))
+        whole = whole.unionByName(salted.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("s") == F.col("salt"))).select(whole.columns))
+    loose = sketched.where("doc_id is null").select("doc_id", "text", "a", F.lit("").alias("next"), F.lit(None).cast("array<bigint>").alias("c"))
+    whole = whole.unionByName(loose).withColumn("n_chars", F.length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    full = full.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring(F.coalesce("head", F.lit("")), F.lit(1), half)))
-    full = with_sketch(with_sketch(full.drop("head"), "text", "a"), "edited", "b")
-    rows = full.select("doc_id", "n_chars", F.xxhash64("text").alias("th"), F.sha2("edited", 256).alias("edited_sha256"), "a", "b")
-    rows = materialize(rows, "sketches")
-    after = order.select(F.col("doc_id").alias("id"), "next_id").join(
-        rows.join(order.select(F.col("doc_id").alias("id"), F.col("th").alias("chosen")), (F.col("doc_id") == F.col("id")) & (F.col("th") == F.col("chosen"))).groupBy(F.col("doc_id").alias("next_id")).agg(F.max("a").alias("c")), "next_id"
-    )
-    joined = rows.join(after.select("id", "c"), F.col("doc_id") == F.col("id"), "left")
-    return joined.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
+    whole = whole.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("next", F.lit(1), half)))
+    out = with_sketch(whole.select("doc_id", "n_chars", "edited", "a", "c"), "edited", "b")
+    return out.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
