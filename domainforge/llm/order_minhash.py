@@ -119,23 +119,25 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     after = [(r.range, q.t.o, q.t.th) for r, q in zip(tops, tops[1:] + tops[:1], strict=True)]
     sketched = with_sketch(docs, "text", "a")
     first = docs.sparkSession.createDataFrame(after, "of int, o long, th long")
-    edge = with_sketch(keyed.join(F.broadcast(first), ["o", "th"]).groupBy("of").agg(F.min("text").alias("edge")), "edge", "edge_a")
+    edge = keyed.join(F.broadcast(first), ["o", "th"]).groupBy("of").agg(F.min("text").alias("text"))
+    none = F.lit(None).cast("bigint")
+    edge = with_sketch(edge, "text", "a").select(none.alias("doc_id"), "text", none.alias("o"), none.alias("th"), F.col("of").alias("range"), "a", F.lit(True).alias("ghost"))
 
-    warm = sketched.where("doc_id is not null").withColumn("ghost", F.lit(False))
+    # ghosts: rows that only give their text to the row before; the first of the next range stands last
+    warm = sketched.where("doc_id is not null").withColumn("ghost", F.lit(False)).unionByName(edge)
     if hot:
         one = sketched.where(F.col("doc_id").isin(hot)).groupBy("doc_id", "o", "range").agg(F.min(F.struct("th", "text", "a")).alias("m"))
         one = one.select("doc_id", "m.text", "o", "m.th", "range", "m.a", F.lit(True).alias("ghost"))
-        warm = warm.where(~F.col("doc_id").isin(hot)).unionByName(one)
-    in_range = W.partitionBy("range").orderBy("o", "th")
+        warm = warm.where(F.col("doc_id").isNull() | ~F.col("doc_id").isin(hot)).unionByName(one)
+    in_range = W.partitionBy("range").orderBy(F.asc_nulls_last("o"), "th")
     led = warm.repartition(parts, "range").withColumn("m", F.lead(F.struct(F.col("text").alias("t"), F.col("a").alias("s"))).over(in_range))
     if (most or 0) > 1:  # of repeated ids the last row meets the next id
         led = led.withColumn("m", F.last("m").over(W.partitionBy("range", "o").orderBy("th").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    led = led.join(edge.hint("merge"), (F.col("range") == F.col("of")) & F.col("m").isNull(), "left")
-    led = led.select("doc_id", "text", "a", "ghost", F.coalesce("m.t", "edge").alias("next"), F.coalesce("m.s", "edge_a").alias("c"))
+    led = led.select("doc_id", "text", "a", "ghost", F.col("m.t").alias("next"), F.col("m.s").alias("c"))
     whole = led.where(~F.col("ghost")).drop("ghost")
     if hot:
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        wanted = led.where("ghost").select(F.col("doc_id").alias("id"), "next", "c", salts.alias("salt"))
+        wanted = led.where("ghost and doc_id is not null").select(F.col("doc_id").alias("id"), "next", "c", salts.alias("salt"))
         salted = sketched.where(F.col("doc_id").isin(hot)).select("doc_id", "text", "a", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("s"))
         whole = whole.unionByName(salted.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("s") == F.col("salt"))).select(whole.columns))
     loose = sketched.where("doc_id is null").select("doc_id", "text", "a", F.lit("").alias("next"), F.lit(None).cast("array<bigint>").alias("c"))
