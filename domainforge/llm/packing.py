@@ -3,15 +3,14 @@
 The plan needs only how many pieces there are of each length, so it is made on a histogram of at most
 ``capacity`` numbers, whatever the size of the corpus. Large lengths are cut into groups of equal cardinality
 and rounded up to the largest of their group; configurations of the few sizes are optimised by column
-generation; actual pieces take the rounded places; what is left and all small pieces go best-fit, longest
-first. The result is a list of runs ("so many sequences with these lengths"), which pieces join by their rank
+generation; actual pieces take the rounded places, the last place of a sequence the longest piece that fits;
+what is left is grouped again, and the rest and all small pieces go best-fit, longest first. The result is a list of runs ("so many sequences with these lengths"), which pieces join by their rank
 within their length.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import defaultdict
 
@@ -29,14 +28,20 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces longer than this share of a sequence are grouped; shorter ones are placed last.
 LARGE_SHARE = 6
-GROUPS = 48
+GROUPS = 192
+#: How often what the whole configurations leave is grouped again.
+ROUNDS = 4
 #: Encoded words that a task keeps, and words that are encoded at once.
-CACHE, BATCH = 400_000, 2_000
+CACHE, BATCH = 1_000_000, 2_000
 #: Text that is cut into pieces at once, in whole documents.
 BLOCK_BYTES = 1 << 20
-#: Where every text may be cut before it is encoded.
-LOOSE = re.compile(r"\s\s|^\s|\s\Z")
-CUT = re.compile(r"(?<=\S)(?= [A-Za-z0-9])")
+#: Printed bytes of ASCII, its letters and digits, first bytes of two-byte characters but those with white
+#: space of Unicode among them, and marks that begin a token behind a letter or digit.
+PRINTED, ASCII_WORD, TWO_BYTES, POINT = (np.zeros(256, bool) for _ in range(4))
+PRINTED[33:127] = True
+ASCII_WORD[48:58] = ASCII_WORD[65:91] = ASCII_WORD[97:123] = True
+TWO_BYTES[0xC3:0xE0] = True
+POINT[[ord(","), ord(".")]] = True
 
 
 # ---- the plan on a histogram ----
@@ -101,118 +106,77 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     return [(tuple(columns[:, j].astype(int)), v) for j, v in zip(basis, x, strict=True) if v > 1e-9]
 
 
-def grouped(counts: dict[int, int], capacity: int, groups: int) -> dict[tuple, int]:
-    """The plan with ``groups`` groups of large lengths."""
-    large = sorted((s for s in counts if s * LARGE_SHARE > capacity and counts[s]), reverse=True)
-    total = sum(counts[s] for s in large)
-    out: dict[tuple, int] = defaultdict(int)
-    free: dict[int, list] = defaultdict(list)
-    rest = dict(counts)
-    if total:
-        each, filled, members, order = -(-total // groups), 0, defaultdict(list), []
-        for s in large:  # a length may be split between groups
-            left = counts[s]
-            while left:
-                g = filled // each
-                n = min(left, (g + 1) * each - filled)
-                members[g].append([s, n])
-                filled, left = filled + n, left - n
-        order = sorted(members)
-        sizes = [members[g][0][0] for g in order]
-        merged: dict[int, list] = defaultdict(list)
-        for s, g in zip(sizes, order, strict=True):
-            merged[s] += members[g]
-        keys = sorted(merged, reverse=True)
-        for pattern, n in configurations(keys, [sum(x[1] for x in merged[s]) for s in keys], capacity):
-            n = int(n + 1e-6)
-            slots = [s for s, c in zip(keys, pattern, strict=True) for _ in range(c)]
-            while n > 0 and slots:  # actual lengths take the rounded places
-                contents, run = [], n
-                for s in slots:
-                    queue = merged[s]
-                    if not queue:
-                        continue
-                    run = min(run, max(1, queue[0][1] // slots.count(s)))
-                took = defaultdict(int)
-                for s in slots:
-                    queue = merged[s]
-                    if queue and queue[0][1] >= run:
-                        queue[0][1] -= run
-                        contents.append(queue[0][0])
-                        took[queue[0][0]] += run
-                        if not queue[0][1]:
-                            queue.pop(0)
-                for s, c in took.items():
-                    rest[s] -= c
-                if not contents:
-                    break
-                free[capacity - sum(contents)].append((tuple(contents), run))
-                n -= run
-    best_fit({s: c for s, c in rest.items() if c > 0}, free, out, capacity)
-    return dict(out)
-
-
-def exact_fill(counts: dict[int, int], capacity: int) -> dict[tuple, int]:
-    """The limit of one length to a group: full configurations of the longest length with one, two or three
-    shorter ones, the longest partners first, taken as often as the counts allow; the rest goes best-fit."""
-    left = dict(counts)
+def equal_groups(left: dict[int, int], lengths: list[int], groups: int) -> list[list[int]]:
+    """The descending ``lengths`` in groups of about equal cardinality; equal lengths stay together."""
+    each, filled, out, last = -(-sum(left[s] for s in lengths) // groups), 0, [], None
+    for s in lengths:
+        if filled // each != last:
+            out.append([])
+            last = filled // each
+        out[-1].append(s)
+        filled += left[s]
+    return out
+
+
+def substitute(slots: list[int], members: list[list[int]], live: list[int], left: dict[int, int], capacity: int) -> dict[int, int] | None:
+    """Actual lengths for a configuration: each place takes the longest that its group has left, and the last
+    one the longest length of any group that the rounding leaves room for. None if a place stays empty."""
+    room, took = capacity, {}
+    for j, group in enumerate(slots):
+        s = next((x for x in (members[group] if j + 1 < len(slots) else live) if x <= room and left[x] > took.get(x, 0)), None)
+        if s is None:
+            return None
+        took[s] = took.get(s, 0) + 1
+        room -= s
+    return took
+
+
+def grouped(counts: dict[int, int], capacity: int, groups: int, rounds: int = ROUNDS) -> dict[tuple, int]:
+    """The plan with ``groups`` groups of large lengths.
+
+    Configurations are taken whole; what their fractions leave is grouped again, ``rounds`` times at most, and
+    a round in which no configuration is worth one whole sequence takes those worth a third once. The rest of
+    the large lengths and all small ones go best-fit into the free spaces."""
+    left = {s: n for s, n in counts.items() if n}
     free: dict[int, list] = defaultdict(list)
     out: dict[tuple, int] = defaultdict(int)
-
-    def take(contents: tuple) -> bool:
-        n = min(left.get(s, 0) // contents.count(s) for s in contents)
-        if n:
-            out[tuple(sorted(contents, reverse=True))] += n
-            for s in contents:
-                left[s] -= n
-        return n > 0
-
-    def partners(length: int, room: int):
-        live = [s for s in range(min(length, room), 0, -1) if left.get(s)]
-        if left.get(room) and room <= length:
-            yield (room,)
-        for a in live:
-            if 2 * a >= room and left.get(room - a):
-                yield (a, room - a)
-        for a in live:
-            rest = room - a
-            if 3 * a < room:
-                break
-            for b in live:
-                if b <= min(a, rest - 1) and left.get(rest - b) and rest - b <= b:
-                    yield (a, b, rest - b)
-                    break
-
-    for length in sorted(counts, reverse=True):
-        if length == capacity and left[length]:
-            out[(length,)] += left.pop(length)
-            continue
-        for found in partners(length, capacity - length):
-            if not left[length]:
-                break
-            take((length, *found))
-    best_fit({s: c for s, c in left.items() if c}, free, out, capacity)
+    live = sorted((s for s in left if s * LARGE_SHARE > capacity), reverse=True)
+    for _ in range(rounds):
+        live = [s for s in live if left[s]]
+        if not live:
+            break
+        members = equal_groups(left, live, groups)
+        sizes = [group[0] for group in members]
+        found = configurations(sizes, [sum(left[s] for s in group) for group in members], capacity)
+        whole = any(v > 1 - 1e-6 for _, v in found)
+        todo = [([g for g, c in enumerate(pattern) for _ in range(c)], int(v + 1e-6) if whole else int(v > 1 / 3)) for pattern, v in found]
+        todo.sort(key=lambda x: -sum(sizes[g] for g in x[0]))
+        placed = False
+        for slots, n in todo:
+            while n and slots and (took := substitute(slots, members, live, left, capacity)):
+                run = min(n, *(left[s] // c for s, c in took.items()))
+                contents = tuple(s for s, c in took.items() for _ in range(c))
+                for s, c in took.items():
+                    left[s] -= c * run
+                free[capacity - sum(contents)].append((contents, run))
+                n, placed = n - run, True
+        if not placed:
+            break
+    best_fit({s: n for s, n in left.items() if n}, free, out, capacity)
     return dict(out)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> dict[tuple, int]:
-    """How many sequences of which lengths. The grouping is refined until it meets the bound of total length,
-    down to one length a group, where the optimal configurations are those that fill a sequence; the best of
-    the refinements counts."""
-    best, bound = None, -(-sum(s * c for s, c in counts.items()) // capacity)
-    for k in (groups, 2 * groups, 0, -1):
-        if k > 0:
-            made = grouped(counts, capacity, k)
-        elif k == 0:
-            made = exact_fill(counts, capacity)
-        else:
-            made = defaultdict(int)
-            best_fit(counts, defaultdict(list), made, capacity)
-        if best is None or sum(made.values()) < sum(best.values()):
+    """How many sequences of which lengths. The grouping is refined until it meets the bound of total length;
+    the best of the refinements counts."""
+    best, bound = {}, -(-sum(s * c for s, c in counts.items()) // capacity)
+    for k in (groups // 2, groups):
+        made = grouped(counts, capacity, k)
+        if not best or sum(made.values()) < sum(best.values()):
             best = made
         if sum(best.values()) <= bound:
             break
-    return dict(best)
+    return best
 
 
 # ---- tokens and pieces ----
@@ -220,42 +184,102 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
 
 class Encoder:
     """Ids of a byte-level BPE vocabulary file, as the tokenizers library gives them. The pre-tokenizer always
-    cuts before a space that stands behind a non-space and before a letter or digit, so texts are cut there,
-    and what is between two cuts is encoded once and kept."""
+    cuts before a space that stands behind a non-space and before an ASCII letter or digit, so texts are cut
+    there. Parts are told apart by a 64-bit hash; each distinct one is encoded once and kept."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, parts: list[str]) -> None:
-        fresh = list(set(parts).difference(self.known))
-        for k in range(0, len(fresh), BATCH):
-            some = fresh[k : k + BATCH]
-            for part, made in zip(some, self.whole.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[part] = np.array(made.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        out = []
-        for text in texts:
-            if LOOSE.search(text):
-                parts = CUT.split(text)
-            else:  # every space stands between two non-spaces, and is a place to cut
-                first, *rest = text.split(" ")
-                parts = [first, *[" " + w for w in rest]]
-            self._learn(parts)
-            out.append(b"".join(map(self.known.__getitem__, parts)))
-            if len(self.known) > CACHE:
-                self.known.clear()
-        return out
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.slot = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.sizes, self.starts, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
+
+    def _learn(self, raw: np.ndarray, hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> None:
+        """Encode the parts ``raw[first:last]`` of the given new hashes."""
+        sizes, ids = [], []
+        for k in range(0, len(first), BATCH):
+            some = [raw[x:y].tobytes().decode("utf-8") for x, y in zip(first[k : k + BATCH].tolist(), last[k : k + BATCH].tolist(), strict=True)]
+            for made in self.whole.encode_batch_fast(some, add_special_tokens=False):
+                own = made.ids
+                sizes.append(len(own))
+                ids.extend(own)
+        slots = len(self.sizes) + np.arange(len(hashes))
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.slot = np.insert(self.hashes, at, hashes[order]), np.insert(self.slot, at, slots[order])
+        self.sizes = np.concatenate((self.sizes, np.array(sizes, np.int64)))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = np.concatenate((self.ids, np.array(ids, "<u4")))
+
+    def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, row offsets) of the texts with these UTF-8 bytes."""
+        if not len(raw):
+            return np.empty(0, "<u4"), np.zeros(len(at), np.int64)
+        first = np.flatnonzero(_cuts(raw, at))
+        last = np.append(first[1:], len(raw))
+        hashes = _hashes(raw, first, last)
+        known, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) > CACHE:
+            self._forget()
+        found = np.searchsorted(self.hashes, known)
+        fresh = np.ones(len(known), bool)
+        inside = found < len(self.hashes)
+        fresh[inside] = self.hashes[found[inside]] != known[inside]
+        self._learn(raw, known[fresh], first[where[fresh]], last[where[fresh]])
+        slot = self.slot[np.searchsorted(self.hashes, known)][back]
+        size = self.sizes[slot]
+        end = np.cumsum(size)
+        ids = self.ids[np.repeat(self.starts[slot] - (end - size), size) + np.arange(int(end[-1]))]
+        return ids, np.concatenate(([0], end))[np.searchsorted(first, at)]
+
+
+def _cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where a part begins. Every such place is a border of two tokens, whatever stands around it."""
+    word, after = ASCII_WORD[raw], np.zeros(len(raw), bool)
+    after[1:] = PRINTED[raw[:-1]]  # behind a byte that is surely no white space
+    after[2:] |= (raw[1:-1] >= 128) & TWO_BYTES[raw[:-2]]
+    before = np.zeros(len(raw), bool)
+    before[:-1] = word[1:]
+    out = (raw == 32) & after & before
+    line = (raw == 10) & after & before  # a single line break between two texts is a token
+    out |= line
+    out[1:] |= line[:-1]
+    out[1:] |= POINT[raw[1:]] & word[:-1]
+    starts = at[:-1][np.diff(at) > 0]
+    # nothing that stands in another text decides
+    for k in (0, 1):
+        near = starts + k
+        out[near[near < len(raw)]] = False
+    short = starts[starts > 0] - 1
+    out[short] = False
+    out[starts] = True
+    return out
+
+
+def _hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of adjacent byte ranges, in portions of bounded work arrays."""
+    size = last - first
+    out, a = np.empty(len(size), np.uint64), 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(first, first[a] + tk.HASH_CHARS)))
+        own = size[a:b]
+        starts = np.cumsum(own) - own
+        power = np.full(int(own.max()), tk.PRIME)
+        power[0] = 1
+        np.multiply.accumulate(power, out=power)
+        value = tk.BYTE_KEY[raw[first[a] : last[b - 1]]]
+        value *= power[np.arange(len(value)) - np.repeat(starts, own)]
+        out[a:b] = np.add.reduceat(value, starts)
+        a = b
+    return tk.mix(out + size.astype(np.uint64) * tk.PRIME)
 
 
 def _pieces(path: str, capacity: int, end: int):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int64()), ("nth", pa.int64())])
-    closing = np.array([end], "<u4").tobytes()
 
     def run(batches):
         encoder = Encoder(path)
@@ -263,18 +287,27 @@ def _pieces(path: str, capacity: int, end: int):
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for part in tk.blocks(batch, "text", BLOCK_BYTES):
-                rows: list[tuple] = []
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                    ids += closing
-                    n = len(ids) // 4
-                    first = n - (n - 1) // capacity * capacity
-                    edges = [0, *range(first, n + 1, capacity)]
-                    for k in range(len(edges) - 1):
-                        length = edges[k + 1] - edges[k]
-                        rows.append((doc, k, edges[k], length, zlib.crc32(ids[4 * edges[k] : 4 * edges[k + 1]]), task, int(seen[length])))
-                        seen[length] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                ids, at = encoder.encode(*tk.text_buffers(part.column(1)))
+                ids = np.insert(ids, at[1:], np.uint32(end))
+                at = at + np.arange(len(at))
+                n = np.diff(at)
+                count = -(-n // capacity)
+                doc = np.repeat(np.arange(len(n)), count)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                head = n - (count - 1) * capacity  # of a cut document the first piece is the shorter one
+                start = np.where(piece == 0, 0, head[doc] + (piece - 1) * capacity)
+                length = np.where(piece == 0, head[doc], capacity)
+                memory = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+                low = 4 * (at[doc] + start)
+                crc = [zlib.crc32(memory[x:y]) for x, y in zip(low.tolist(), (low + 4 * length).tolist(), strict=True)]
+                order = np.argsort(length, kind="stable")
+                run_start = np.searchsorted(length[order], length[order])
+                nth = np.empty(len(length), np.int64)
+                nth[order] = np.arange(len(length)) - run_start
+                nth += seen[length]
+                seen += np.bincount(length, minlength=capacity + 1)
+                keys = part.column(0).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), task)), pa.array(nth)], schema=schema)
 
     return run
 
@@ -297,16 +330,36 @@ def pack(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "t
     for contents, n in sorted(plan(counts, capacity).items()):
         at = 0
         for length in contents:
-            runs.append((length, used[length], used[length] + n, base - used[length], at))
+            runs.append((length, used[length], base - used[length], at))
             used[length] += n
             at += length
         base += n
-    # by blocks of ranks, so that the join of ranks and runs has an equal key and no long list
-    table = spark.createDataFrame(runs, "length long, low long, high long, shift long, offset long") if runs else spark.createDataFrame([], "length long, low long, high long, shift long, offset long")
-    ranked = made.join(before, ["length", "task"]).withColumn("rank", F.col("nth") + F.col("before"))
-    lists = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("low", "high", "shift", "offset"))).alias("runs"))
-    placed = ranked.join(F.broadcast(lists), "length").withColumn("run", F.filter("runs", lambda r: (r.low <= F.col("rank")) & (F.col("rank") < r.high))[0])
-    return placed.select(F.col("doc_id").alias(key), "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("run.shift")).alias("sequence_id"), F.col("run.offset").alias("offset"))
+    # the runs follow from a histogram of ``capacity`` numbers, so their table does not grow with the documents
+    # (867 runs for 1,507 pieces, 2,531 for 15,401, 2,741 for 95,332)
+    shared = spark.sparkContext.broadcast(np.array(sorted(runs), np.int64).reshape(-1, 4))
+    ranked = made.join(before, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("before")).alias("rank"))
+    placed = ranked.mapInArrow(_placed(shared), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.withColumnRenamed("doc_id", key)
+
+
+def _placed(shared):
+    """Sequence and offset of each piece: its run is the last one of its length that begins at or below its rank."""
+
+    def run(batches):
+        table = shared.value
+        length, low, shift, offset = table.T if len(table) else np.empty((4, 0), np.int64)
+        first = np.searchsorted(length, np.arange(int(length.max(initial=0)) + 2))
+        for batch in batches:
+            own, rank = (np.asarray(batch.column(name)) for name in ("length", "rank"))
+            lo, hi = first[own], first[own + 1] - 1
+            while (lo < hi).any():  # binary search in all rows at once
+                mid = (lo + hi + 1) // 2
+                fits = low[mid] <= rank
+                lo, hi = np.where(fits, mid, lo), np.where(fits, hi, mid - 1)
+            columns = [batch.column(name) for name in ("doc_id", "piece", "start", "length", "ids_crc32")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(rank + shift[lo]), pa.array(offset[lo])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    return run
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
