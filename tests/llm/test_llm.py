@@ -9,11 +9,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from domainforge.llm import decontaminate, extract, jaccard_join, lm_scoring, order_minhash, packing, quality, sanitise, secrets, warc
+from domainforge.llm import textkit as tk
 
 LONG = "word " * 30_000
 AWKWARD = [(1, None), (2, ""), (3, "  \n\t "), (4, LONG), (5, "same text of exactly these six"), (6, "same text of exactly these six"), (6, "same text of exactly these six"), (7, "é😀ß " * 40), (8, "mail me@x.org +1 (212) 555-0100 now")]
@@ -219,7 +221,8 @@ def test_packing(spark, awkward, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     texts = ["a  b", " lead", "trail ", "x\n y", "<|endoftext|> and <|endoftext|>", "don't  'll", "  nb 　 sp", "naïve 12345 ,,, !!", LONG]
-    assert packing.Encoder(path).encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    own, at = packing.Encoder(path).encode(*tk.text_buffers(pa.array(texts)))
+    assert [own[a:b].tolist() for a, b in zip(at, at[1:])] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
     rows = packing.pack(awkward, path).toPandas()
     for _, v in rows.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
         assert v.offset.tolist() == [0, *np.cumsum(v.length)[:-1].tolist()] and v.length.sum() <= 1024

@@ -20,7 +20,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def test_encoder():
     """Ids equal the library's on texts of awkward characters at every border."""
     whole, own, r = Tokenizer.from_file(PATH), packing.Encoder(PATH), random.Random(1)
-    letters = list("ab1 2.,'\n\t  é\u00a0à\u3000\u2003ß×😀字 s't Z-\u0301\u0085")
+    letters = ["<|endoftext|>", "'ll", *list("ab1 2.,'\n\t  é\u00a0à\u3000\u2003ß×😀字 s't Z-\u0301\u0085")]
     for _ in range(150):
         texts = ["".join(r.choice(letters) for _ in range(r.choice([0, 0, 1, 2, 3, 8, 60]))) for _ in range(40)]
         ids, at = own.encode(*tk.text_buffers(pa.array(texts)))
@@ -61,9 +61,10 @@ def test_plan_is_as_good_as_best_fit(seed):
 
 def test_groups_have_equal_cardinality():
     counts = {s: 1 + s % 3 for s in range(171, 1025)}
-    groups = packing.equal_groups(counts, sorted(counts, reverse=True), 20)
+    groups, each = packing.equal_groups(counts, sorted(counts, reverse=True), 20), -(-sum(counts.values()) // 20)
     sizes = [sum(counts[s] for s in g) for g in groups]
-    assert len(groups) == 20 and max(sizes) <= -(-sum(counts.values()) // 20) + 3 and min(sizes[:-1]) >= sum(counts.values()) // 20 - 3 and [s for g in groups for s in g] == sorted(counts, reverse=True)
+    assert max(sizes) <= each and min(sizes[:-1]) > each - 3 and [s for g in groups for s in g] == sorted(counts, reverse=True)
+    assert [512] in packing.equal_groups(counts | {512: 1000}, sorted(counts, reverse=True), 20)
 
 
 def test_pieces_of_documents(spark):
