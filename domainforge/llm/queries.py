@@ -11,6 +11,7 @@ from domainforge.llm.packing import op5_best_fit_packing
 from domainforge.llm.quality import op8_quality_classifier
 from domainforge.llm.sanitise import op2_private_data
 from domainforge.llm.secrets import op1_secret_scan
+from domainforge.llm.warc import ORACLE as WARC_SQL
 from domainforge.llm.warc import op4_warc_normaliser
 
 _ALL = (
@@ -26,5 +27,5 @@ _ALL = (
     op10_lm_scoring,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-#: One statement can't train a model, run a tokenizer or walk a graph; op3's windows would need it per length.
-ORACLES: dict[str, str] = {}
+#: The others train models, run a tokenizer or walk a graph; they are tested by brute force.
+ORACLES: dict[str, str] = {"op4_warc_normaliser": WARC_SQL}

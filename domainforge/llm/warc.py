@@ -11,7 +11,10 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import os
+import uuid
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,15 +30,28 @@ ARCHIVE_BYTES = 8 << 20
 INDEX = "array<struct<offset:long,length:long,id:string>>"
 
 
-def record(page_id, url, kind: str, digest: bytes, size: int, payload: bytes, refers_to) -> bytes:
+#: What is inflated at once.
+CHUNK_BYTES = 1 << 20
+#: The date of all records: pages come without one.
+DATE = "2000-01-01T00:00:00Z"
+
+
+def urn(name: str) -> str:
+    """A record id that follows from the page's id (or, without one, from the record's place)."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
+def record(page_id, url, kind: str, digest: bytes, size: int, payload: bytes, refers_to, place: str = "") -> bytes:
     head = [
         "WARC/1.0",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {urn(f'place:{place}' if page_id is None else f'page:{page_id}')}",
+        f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {(url or '').replace(chr(13), '').replace(chr(10), '')}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}",
         f"X-Payload-Length: {size}",
-        *([f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"] if kind == "revisit" else []),
+        *([] if page_id is None else [f"X-Page-Id: {page_id}"]),
+        *([f"WARC-Refers-To: {urn(f'page:{refers_to}')}", f"X-Refers-To-Page-Id: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"] if kind == "revisit" else []),
         "Content-Type: text/html",
         f"Content-Length: {len(payload)}",
     ]
@@ -45,19 +61,57 @@ def record(page_id, url, kind: str, digest: bytes, size: int, payload: bytes, re
 def parse(data: bytes, at: int) -> tuple[dict[str, str], int, int]:
     """(fields, start of the payload, end of the record) of the record at ``at``."""
     cut = data.index(b"\r\n\r\n", at)
-    lines = data[at:cut].decode().split("\r\n")
-    fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
+    lines = data[at:cut].decode("utf-8", "replace").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError(f"no record at {at}")
+    fields = {name.strip(): value.strip() for name, _, value in (line.partition(":") for line in lines[1:])}
     body = cut + 4
     return fields, body, body + int(fields["Content-Length"]) + 4
 
 
-def _page(value: str):
-    text = value.removeprefix("<urn:page:").removesuffix(">")
-    return int(text) if text else None
+def inflated(data) -> Iterator[bytes]:
+    """A gzip file's content in chunks, all of its members. Whatever follows that is no member is an error, and so
+    is a member that ends too early; zero bytes at the end are padding."""
+    left = memoryview(data)
+    while len(left):
+        if not any(left[:512]) and not any(left):
+            return
+        member, fed = zlib.decompressobj(31), 0
+        while not member.eof:
+            if fed >= len(left) and not member.unconsumed_tail:
+                raise ValueError("a gzip member ends too early")
+            source = member.unconsumed_tail or left[fed : fed + CHUNK_BYTES]
+            if not member.unconsumed_tail:
+                fed += len(source)
+            part = member.decompress(source, CHUNK_BYTES)
+            if part:
+                yield part
+        left = left[fed - len(member.unused_data) :]
+
+
+def records(data) -> Iterator[bytes]:
+    """The records of a gzip file one by one, however they are dealt over its members; only the record at hand
+    and a chunk are held."""
+    held = bytearray()
+    need = 0  # length of the record at hand, when its head is complete
+    for part in inflated(data):
+        held += part
+        while True:
+            if not need and b"\r\n\r\n" in held:
+                need = parse(held, 0)[2]
+            if not need or len(held) < need:
+                break
+            yield bytes(held[:need])
+            del held[:need]
+            need = 0
+    if held.strip():
+        raise ValueError("a record ends too early")
 
 
 def dedupe(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest, refers_to: of equal payloads the largest page_id is the response.
+    """page_id, url, payload, digest, refers_to: of equal payloads the largest page_id is the response. A page
+    without an id refers to none and is never referred to, so it stays a response; repeated rows of the largest
+    id are responses each.
 
     Only digests that occur twice meet the pages again, by a join whose hot keys Spark can split."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
@@ -83,7 +137,7 @@ def _write(batches):
         for k in range(batch.num_rows):
             page, url, payload, digest, refers = (batch.column(c)[k].as_py() for c in range(5))
             kind = "response" if refers is None else "revisit"
-            data = record(page, url, kind, bytes.fromhex(digest), len(payload), payload if refers is None else b"", refers)
+            data = record(page, url, kind, bytes.fromhex(digest), len(payload), payload if refers is None else b"", refers, f"{task}-{number}-{size}")
             packer = packer or zlib.compressobj(1, zlib.DEFLATED, 31)
             out.append(packer.compress(data))
             size += len(data)
@@ -103,22 +157,25 @@ def _normalise(batches):
     schema = pa.schema([("archive", pa.string()), ("data", pa.binary()), ("index", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("id", pa.string())])))])
     for batch in batches:
         for k in range(batch.num_rows):
-            whole = zlib.decompress(batch.column(1)[k].as_buffer(), 31)
-            at, offset, members, index = 0, 0, [], []
-            while at < len(whole):
-                fields, _, end = parse(whole, at)
-                member = gzip.compress(whole[at:end], 4, mtime=0)
+            offset, members, index = 0, [], []
+            for whole in records(batch.column(1)[k].as_buffer()):
+                member = gzip.compress(whole, 4, mtime=0)
                 members.append(member)
-                index.append({"offset": offset, "length": len(member), "id": fields["WARC-Record-ID"]})
-                offset, at = offset + len(member), end
+                index.append({"offset": offset, "length": len(member), "id": parse(whole, 0)[0]["WARC-Record-ID"]})
+                offset += len(member)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([b"".join(members)], pa.binary()), pa.array([index], schema.field(2).type)], schema=schema)
 
 
 def normalise(archives: DataFrame) -> DataFrame:
-    """(archive, data, index): every record a gzip member of its own, found through the index."""
+    """(archive, data, index): every record a gzip member of its own, found through the index. The input may have
+    its records in one member, in a member each, or in any other layout; damage is an error."""
     return archives.mapInArrow(_normalise, f"archive string, data binary, index {INDEX}")
 
 
+def _page(value: str | None):
+    return None if value is None else int(value)
+
+
 def _read(batches):
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
     for batch in batches:
@@ -132,7 +189,7 @@ def _read(batches):
                 kind, size = fields["WARC-Type"], int(fields["X-Payload-Length"])
                 if kind == "response" and (hashlib.sha1(whole[body : end - 4]).hexdigest() != digest or end - 4 - body != size):
                     raise ValueError(f"damaged record {entry['id']}")
-                rows.append((_page(fields["WARC-Record-ID"]), size, digest, kind, _page(fields["WARC-Refers-To"]) if kind == "revisit" else None))
+                rows.append((_page(fields.get("X-Page-Id")), size, digest, kind, _page(fields.get("X-Refers-To-Page-Id"))))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
@@ -141,22 +198,39 @@ def read_records(archives: DataFrame) -> DataFrame:
     return archives.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def export(archives: DataFrame, folder: str) -> list[str]:
-    """Write normalised archives, one after the other, as .warc.gz files with .idx files beside them."""
-    import os
+def archives_in(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, data): the .warc.gz files under ``path``, a row each."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc.gz").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), F.col("content").alias("data"))
 
-    made = []
-    for row in archives.toLocalIterator():
-        path = os.path.join(folder, row["archive"])
-        with open(path, "wb") as f:
-            f.write(row["data"])
-        with open(f"{path}.idx", "w") as f:
-            f.writelines(f"{e['offset']}\t{e['length']}\t{e['id']}\n" for e in row["index"])
-        made.append(path)
-    return made
+
+def export(archives: DataFrame, folder: str) -> None:
+    """Write normalised archives as .warc.gz files with .idx files beside them. Tasks write into ``folder``, which
+    all executors have to share; a file appears whole or not at all, so a task can be run again."""
+
+    def put(path: str, data: bytes) -> None:
+        partial = f"{path}.{uuid.uuid4().hex}"
+        with open(partial, "wb") as f:
+            f.write(data)
+        os.replace(partial, path)
+
+    def write(rows) -> None:
+        for row in rows:
+            path = os.path.join(folder, row["archive"])
+            put(f"{path}.idx", "".join(f"{e['offset']}\t{e['length']}\t{e['id']}\n" for e in row["index"]).encode())
+            put(path, bytes(row["data"]))
+
+    archives.foreachPartition(write)
 
 
 def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through monolithic and normalised archives and back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return read_records(materialize(normalise(materialize(write_archives(pages), "monolithic")), "normalised"))
+
+
+#: The contract's rows, from the pages themselves.
+ORACLE = f"""SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < latest THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id < latest THEN latest END AS refers_to
+    FROM (SELECT *, CASE WHEN payload_bytes >= {MIN_REVISIT} THEN max(page_id) OVER (PARTITION BY payload_digest) END AS latest
+    FROM (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages) a) b"""

@@ -1,5 +1,6 @@
 """Brute-force, round-trip and awkward-input tests of the text operators."""
 
+import glob
 import gzip
 import hashlib
 import random
@@ -320,7 +321,10 @@ def test_warc_round_trip(spark, tmp_path):
         last = max(q for q, _, g in rows if g == h) if len(data) >= 1000 else p
         want.add((p, len(data), hashlib.sha1(data).hexdigest(), "revisit" if p < last else "response", last if p < last else None))
     assert got == want
-    for path in warc.export(archives, str(tmp_path)):
+    warc.export(archives, str(tmp_path))
+    paths = sorted(glob.glob(f"{tmp_path}/*.warc.gz"))
+    assert len(paths) == archives.count()
+    for path in paths:
         data = open(path, "rb").read()
         whole = gzip.decompress(data)
         parts = [tuple(line.split("\t")) for line in open(path + ".idx").read().splitlines()]
