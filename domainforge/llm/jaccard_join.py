@@ -19,6 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,9 @@ NEIGHBOURHOOD_EVERY, SMALL_SET = 8, 40
 SIGNATURE_BYTES = 16 << 20
 #: A candidate component of at most so many shingles (8 bytes each) is verified in one place; larger ones in
 #: pairs, as stars.
-FAMILY = 6 << 20
+FAMILY = 2 << 20
+#: Sets whose signatures are made at once.
+SLICE_BYTES = 2 << 20
 SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -186,7 +189,9 @@ def signatures(v: np.ndarray, at: np.ndarray, lows: list[int]) -> tuple[np.ndarr
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]), np.concatenate([np.full(len(x[0]), x[2]) for x in out])
 
 
-def _sets(text: str):
+def _sets(text: str, chosen: bool = True):
+    """(c, n, set): the class key, size and shingles of each text; ``chosen`` rows say which class they have to
+    belong to in h1 and h2, as an id can have several texts."""
     schema = pa.schema([("c", pa.int64()), ("n", pa.int64()), ("set", pa.binary())])
 
     def run(batches):
@@ -194,8 +199,10 @@ def _sets(text: str):
             for part in tk.blocks(batch, text):
                 v, at = shingle_sets(part, text)
                 h1, h2 = set_keys(v, at)
-                want = part.schema.get_field_index("h1"), part.schema.get_field_index("h2")
-                ok = np.flatnonzero((h1 == np.asarray(part.column(want[0]))) & (h2 == np.asarray(part.column(want[1]))))
+                ok = np.arange(part.num_rows)
+                if chosen:
+                    want = part.schema.get_field_index("h1"), part.schema.get_field_index("h2")
+                    ok = np.flatnonzero((h1 == np.asarray(part.column(want[0]))) & (h2 == np.asarray(part.column(want[1]))))
                 yield pa.RecordBatch.from_arrays([pa.array(h1[ok]), pa.array(np.diff(at)[ok]), pa.array([v[at[r] : at[r + 1]].tobytes() for r in ok], pa.binary())], schema=schema)
 
     return run
@@ -206,8 +213,11 @@ def _signature_rows(buckets: int, lows: list[int]):
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
+            total, start = np.cumsum(pc.binary_length(batch.column(2)).to_numpy()), 0
+            while start < batch.num_rows:
+                end = int(np.searchsorted(total, (total[start - 1] if start else 0) + SLICE_BYTES, "right"))
+                end = min(max(end, start + 1), start + 2000, batch.num_rows)
+                part, start = batch.slice(start, end - start), end
                 raw = part.column(2).to_pylist()
                 at = np.concatenate(([0], np.cumsum([len(x) // 8 for x in raw])))
                 sig, row, probing = signatures(np.frombuffer(b"".join(raw), np.uint64), at, lows)
@@ -366,9 +376,12 @@ def similarity_components(docs: DataFrame, *, key: str = "doc_id", text: str = "
     shared = counted.groupBy("bucket").applyInPandas(_shared_in_bucket, "block long, counts binary, docs binary")
     profile = materialize(shared.groupBy("block").applyInPandas(_by_text, "id long, n long, h1 long, h2 long, shared long"), "profile")
     classes = materialize(profile.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.max("shared").alias("shared")), "classes")
-    partnered = classes.where("100 * shared >= 75 * n and id is not null").select("id", "h1", "h2")
-    sets = docs.join(partnered, "id").mapInArrow(_sets("text"), "c long, n long, set binary").dropDuplicates(["c"])
-    sets = materialize(sets, "sets")
+    partnered = classes.where("100 * shared >= 75 * n").select("id", "h1", "h2")
+    sets = docs.join(partnered.where("id is not null"), "id").mapInArrow(_sets("text"), "c long, n long, set binary")
+    # a class whose texts all have null keys is found by its hash
+    nameless = partnered.where("id is null").select(F.col("h1").alias("c"))
+    sets = sets.unionAll(docs.where("id is null").mapInArrow(_sets("text", False), "c long, n long, set binary").join(nameless, "c", "left_semi"))
+    sets = materialize(sets.dropDuplicates(["c"]), "sets")
     largest = sets.agg(F.max("n")).first()[0] or 1
     narrow = pieces(sets, SIGNATURE_BYTES, 6)
     rows = sets.mapInArrow(_signature_rows(narrow, [*bands(largest), 2**62]), "bucket int, sigs binary, rows binary, docs binary")
