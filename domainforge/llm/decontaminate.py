@@ -211,25 +211,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
     out = docs.drop(*STATE)
     for tests, last in _blocks(spark, benchmark, item, item_text, window, block_bytes):
         base = out.drop(*STATE)
-        schema = f"{_ddl(base)}, _n_words long, _hits binary, _items array<string>, _near array<string>"
-        arrow = _arrow(spark, schema)
+        schema = f"{tk.ddl(base)}, _n_words long, _hits binary, _items array<string>, _near array<string>"
+        arrow = tk.arrow_schema( schema)
         out = out.mapInArrow(_searcher(spark.sparkContext.broadcast(tests), text, slop, misses, arrow), schema)
         if not last:
             out = materialize(out, "decontaminate")
     return out
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
-def _arrow(spark: SparkSession, ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
-
-
 def contamination_report(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Per document: words, words inside a window, items and their digest, items by proximity."""
     items = F.array_sort(F.array_distinct("_items"))

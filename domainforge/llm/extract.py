@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from domainforge.llm import textkit as tk
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-label|itemprop)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -397,12 +399,10 @@ def extract(pages: DataFrame, *, column: str = "html", trees: Trees | None = Non
 
     Null html is empty and gives an empty text; text outside of any block counts only on pages that hold most
     of their text so; repeated rows give a row each."""
-    from domainforge.llm.decontaminate import _arrow, _ddl
-
     spark = pages.sparkSession
     source = pages.drop(*(n for n in ("text", "n_chars") if n != column))
-    ddl = f"{_ddl(source.drop(column))}, text string, n_chars long".lstrip(", ")
-    return source.mapInArrow(_extractor(spark.sparkContext.broadcast(trees or train()), column, _arrow(spark, ddl)), ddl)
+    ddl = f"{tk.ddl(source.drop(column))}, text string, n_chars long".lstrip(", ")
+    return source.mapInArrow(_extractor(spark.sparkContext.broadcast(trees or train()), column, tk.arrow_schema(ddl)), ddl)
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,12 +176,10 @@ def with_score(docs: DataFrame, model: AttentionModel | None, *, text: str = "te
 
     A null text is empty and is scored as such; repeated rows have equal scores; without any usable label
     every score is 0.5."""
-    from domainforge.llm.decontaminate import _arrow, _ddl
-
     spark = docs.sparkSession
     source = docs.drop(name)
-    ddl = f"{_ddl(source)}, `{name}` double"
-    return source.mapInArrow(_scorer(spark.sparkContext.broadcast(model), text, _arrow(spark, ddl)), ddl)
+    ddl = f"{tk.ddl(source)}, `{name}` double"
+    return source.mapInArrow(_scorer(spark.sparkContext.broadcast(model), text, tk.arrow_schema(ddl)), ddl)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

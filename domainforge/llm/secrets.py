@@ -1,13 +1,19 @@
-"""Secret scan: fixed patterns, and a log-likelihood ratio of two character Markov models.
+"""Secret scan: fixed patterns, and a log-likelihood ratio of character Markov models.
 
-One model is fitted to random strings, the other to ordinary identifiers. Every long token of a text gets the
-difference of its log-likelihoods; a token above the threshold is reported besides the pattern matches.
+One side is fitted to random strings, the other to ordinary identifiers; each side is an even mixture of a model
+for each kind of its labelled samples (keys over several alphabets; names, paths, numbers, rulers, sequences,
+UUIDs, encoded prose). Every long token of a text gets the difference of its log-likelihoods. The threshold is
+fitted on held-out ordinary samples to a false-positive rate; a token above it is reported besides the pattern
+matches.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +39,12 @@ SAMPLE_TEXTS = 2000
 MIN_TOKEN = 20
 #: Text that is scanned at once, in whole documents.
 BLOCK_BYTES = 1 << 20
-#: Log-likelihood ratio, in nats: evidence of about e**12 to 1 for a random string.
-THRESHOLD = 12.0
+#: Distinct words of the sample's texts that make identifiers, at most, those of the smallest checksums.
+SAMPLE_WORDS = 20_000
+#: Share of the held-out ordinary samples of any kind that the threshold lets through.
+FALSE_RATE = 0.001
+#: The least threshold: one long token in a thousand is taken for a key beforehand.
+LEAST_RATIO = math.log(1000)
 
 CODE = np.full(128, len(ALPHABET), np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -60,29 +70,97 @@ class MarkovModel:
         return float(self.log[np.concatenate(([len(ALPHABET)], codes[:-1])), codes].sum())
 
 
+class RepeatModel:
+    """First-order character model that learns from the token as it goes, so repeated patterns become likely."""
+
+    def score(self, token: str, smooth: float = 0.5) -> float:
+        seen: dict[tuple[str, str], int] = {}
+        total: dict[str, int] = {}
+        out, before = 0.0, ""
+        for c in token:
+            n = seen.get((before, c), 0)
+            out += math.log((n + smooth / len(ALPHABET)) / (total.get(before, 0) + smooth))
+            seen[before, c], total[before] = n + 1, total.get(before, 0) + 1
+            before = c
+        return out
+
+
+class Mixture:
+    """Even mixture of a model for each kind of samples; rulers have the model of repeats."""
+
+    def __init__(self, kinds: dict[str, list[str]]):
+        self.models = [RepeatModel() if kind == "rulers" else MarkovModel(samples) for kind, samples in kinds.items()]
+
+    def score(self, token: str) -> float:
+        return float(np.logaddexp.reduce([m.score(token) for m in self.models])) - float(np.log(len(self.models)))
+
+
 class SecretModel:
-    def __init__(self, random: list[str], ordinary: list[str], threshold: float = THRESHOLD):
-        self.random, self.ordinary, self.threshold = MarkovModel(random), MarkovModel(ordinary), threshold
+    """``random`` and ``ordinary`` are labelled samples by kind. Every fourth sample is held out: the threshold is
+    the ratio that at most ``false_rate`` of any ordinary kind's held-out samples exceed, and never below ``LEAST_RATIO``."""
+
+    def __init__(self, random: dict[str, list[str]], ordinary: dict[str, list[str]], false_rate: float = FALSE_RATE):
+        learned = lambda kinds: {k: [x for i, x in enumerate(v) if i % 4] for k, v in kinds.items()}
+        held = lambda kinds: {k: [x for x in v[::4] if len(x) >= MIN_TOKEN] for k, v in kinds.items()}
+        self.random, self.ordinary = Mixture(learned(random)), Mixture(learned(ordinary))
+        ratios = [np.sort([self.ratio(x) for x in v]) for v in held(ordinary).values() if v]
+        self.threshold = max([LEAST_RATIO, *(float(r[min(len(r) - 1, int(len(r) * (1 - false_rate)))]) for r in ratios)])
+        self.recall = {k: float(np.mean([self.ratio(x) > self.threshold for x in v])) for k, v in held(random).items() if v}
 
     def ratio(self, token: str) -> float:
         return self.random.score(token) - self.ordinary.score(token)
 
 
-def random_strings(count: int = 6000, seed: int = 7) -> list[str]:
+def random_strings(count: int = 1500, seed: int = 7) -> dict[str, list[str]]:
     """Labelled random strings over the alphabets that keys are written in."""
     rng = np.random.default_rng(seed)
-    kinds = ("0123456789abcdef", ALPHABET[:62], ALPHABET[:64], ALPHABET[:36], "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
-    return ["".join(rng.choice(list(kinds[k % len(kinds)]), rng.integers(20, 64))) for k in range(count)]
+    kinds = {"hexadecimal": "0123456789abcdef", "letters and digits": ALPHABET[:62], "base64": ALPHABET[:64], "base64 for addresses": ALPHABET[:62] + "_-", "capitals and digits": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "small letters and digits": "abcdefghijklmnopqrstuvwxyz0123456789"}
+    return {kind: ["".join(rng.choice(list(letters), rng.integers(20, 64))) for _ in range(count)] for kind, letters in kinds.items()}
 
 
-def identifiers(words: list[str], seed: int = 11) -> list[str]:
-    """Ordinary identifiers from ordinary words: alone, in snake, kebab and camel case, as paths and numbered."""
+def identifiers(words: list[str], count: int = 2000, seed: int = 11) -> dict[str, list[str]]:
+    """Labelled ordinary tokens: identifiers and paths of ordinary words, and what else stands in texts as a long
+    token without being a key."""
     rng = np.random.default_rng(seed)
-    out = list(words)
-    for k in range(len(words)):
-        some = [words[i] for i in rng.integers(0, len(words), rng.integers(2, 5))]
-        out.append(("_".join(some), "-".join(some), "".join(w.capitalize() for w in some), "/".join(some), "_".join(some).upper(), f"{some[0]}{rng.integers(0, 3000)}", "=".join(some[:2]))[k % 7])
-    return out
+
+    def some(low: int, high: int) -> list[str]:
+        return [words[i] for i in rng.integers(0, len(words), rng.integers(low, high))]
+
+    def mixed() -> str:
+        return "".join(rng.choice([w, w.capitalize(), w.upper(), f"{w}{rng.integers(0, 100)}"]) for w in some(2, 7))
+
+    def path() -> str:
+        own = [w.lower() + str(rng.choice(["", "", "-", "_"])) + str(rng.integers(0, 100) if rng.random() < 0.2 else "") for w in some(2, 7)]
+        return "/" + "/".join([*rng.choice(["usr", "lib", "home", "var", "x86_64-linux-gnu", "src", "data"], 2), *own])
+
+    def ruler() -> str:
+        unit = "".join(rng.choice(list(ALPHABET), rng.choice([1, 1, 1, 2, 3])))
+        return unit * int(rng.integers(20, 80) // len(unit) + 1)
+
+    def sequence() -> str:
+        line = (ALPHABET[:26] * 3, ALPHABET[26:52] * 3, "0123456789" * 8, "0123456789abcdef" * 5)[rng.integers(4)]
+        at = rng.integers(0, 26)
+        return line[at : at + rng.integers(20, 50)]
+
+    def uuid() -> str:
+        h = "".join(rng.choice(list("0123456789abcdef"), 32))
+        h = h.upper() if rng.random() < 0.3 else h
+        return "-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:]))
+
+    makers = {
+        "words": lambda: str(rng.choice(["_", "-", "/", "=", ""])).join(some(1, 8)),
+        "capitals": lambda: "_".join(some(2, 7)).upper(),
+        "camel case": mixed,
+        "paths": path,
+        "numbers": lambda: "".join(rng.choice(list("0123456789"), rng.integers(20, 40))),
+        "dates and versions": lambda: "-".join(f"{rng.integers(0, 10000):0{rng.integers(1, 5)}d}" for _ in range(rng.integers(5, 10))),
+        "rulers": ruler,
+        "sequences": sequence,
+        "identifiers by number": uuid,
+        "encoded prose": lambda: base64.b64encode(" ".join(some(4, 12)).encode()).decode(),
+        "prose in hexadecimal": lambda: " ".join(some(3, 7)).encode().hex(),
+    }
+    return {kind: [make() for _ in range(count)] for kind, make in makers.items()}
 
 
 def scan(text: str, model: SecretModel) -> tuple[dict[str, int], list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -142,14 +220,15 @@ def _scanner(model, text: str, out_schema: pa.Schema):
     return run
 
 
-def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE_TEXTS) -> SecretModel:
-    """Models from labelled samples: random strings, and identifiers of the words of at most ``sample`` texts
-    (the bound of this fit), chosen by hash. Words inside pattern matches are left out."""
-    words: dict[str, None] = {}
+def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE_TEXTS, most: int = SAMPLE_WORDS) -> SecretModel:
+    """Models from labelled samples: random strings, and identifiers of ``most`` words of at most ``sample`` texts
+    (the bounds of this fit), both chosen by hash. Words inside pattern matches are left out."""
+    words: set[str] = set()
     for t in tk.sample_texts(docs, text, sample):
         clean = HEX.sub(" ", ACCESS.sub(" ", ASSIGN.sub(" ", t)))
-        words.update(dict.fromkeys(re.findall(r"[A-Za-z]{3,}", clean)))
-    return SecretModel(random_strings(), identifiers(list(words)[:20000] or ["value", "name", "index"]))
+        words.update(re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,15}(?![A-Za-z0-9+/_=-])", clean))
+    chosen = sorted(words, key=lambda w: (zlib.crc32(w.encode()), w))[:most]
+    return SecretModel(random_strings(), identifiers(chosen or ["value", "name", "index"]))
 
 
 def find_secrets(docs: DataFrame, *, text: str = "text", model: SecretModel | None = None) -> DataFrame:
@@ -157,14 +236,12 @@ def find_secrets(docs: DataFrame, *, text: str = "text", model: SecretModel | No
 
     A null text counts as empty; repeated rows are scanned each; input columns with the names of results are
     replaced."""
-    from domainforge.llm.decontaminate import _arrow, _ddl
-
     spark = docs.sparkSession
     model = model or fit(docs, text)
     names = ("n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans")
     source = docs.drop(*(n for n in names if n != text))
-    ddl = f"{_ddl(source.drop(text))}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string".lstrip(", ")
-    return source.mapInArrow(_scanner(spark.sparkContext.broadcast(model), text, _arrow(spark, ddl)), ddl)
+    ddl = f"{tk.ddl(source.drop(text))}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string".lstrip(", ")
+    return source.mapInArrow(_scanner(spark.sparkContext.broadcast(model), text, tk.arrow_schema(ddl)), ddl)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,18 @@ def sample_texts(df: DataFrame, text: str, most: int) -> list[str]:
     return [r.t for r in sorted(rows, key=lambda r: r.h)]
 
 
+def ddl(df: DataFrame) -> str:
+    """The columns of ``df`` as a schema text."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def arrow_schema(text: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(text))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x.astype(np.uint64, copy=True)
