@@ -70,7 +70,7 @@ def test_secret_spans(spark, awkward, nothing):
 def test_secret_ratio():
     model = secrets.SecretModel(secrets.random_strings(), secrets.identifiers("market city people water house study group river stone winter summer letter".split() * 40))
     fresh = secrets.random_strings(400, seed=99)
-    assert np.mean([model.ratio(s) > model.threshold for s in fresh]) > 0.9
+    assert np.mean([model.ratio(s) > model.threshold for own in fresh.values() for s in own]) > 0.9
     assert model.ratio("summer_letter_house_study") < 0 < model.ratio("x7Kq09ZpLm3TtVb81QwErT55")
 
 
