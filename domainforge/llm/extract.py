@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from domainforge.llm import textkit as tk
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)", re.S)
+#: What ends a tag, or opens a value in which ``>`` doesn't end it.
+TAG_PART = re.compile(r">|=\s*[\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-label|itemprop)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Content that is never text and holds no tags.
@@ -34,7 +36,7 @@ TAGS = "p div article main section header footer nav aside form ul ol li h1 h2 h
 #: Words of class, id and role that tell a node's part.
 ROLES = "nav menu navbar header masthead topbar banner footer copyright legal sidebar aside widget rail ad ads advert sponsor promo cookie consent notice alert popup modal newsletter subscribe signup comment comments reply discussion respond related recommended share social breadcrumb breadcrumbs pagination pager login search form toolbar tags meta author byline content article post entry main story body text page wrapper container hero lead".split()
 _ROLE = {w: k for k, w in enumerate(ROLES)}
-N_SHAPE = 20
+N_SHAPE = 22
 N_FEATURES = N_SHAPE + len(TAGS) + 2 * len(ROLES)
 
 
@@ -47,13 +49,34 @@ class Node:
         self.own, self.start = [0, 0, 0, 0], 0  # characters, characters in links, tags, marks
 
 
+class TagEnds:
+    """Where tags end, in time linear in the page: a quoted value that is never closed, or a tag that never ends,
+    makes quotes of this page mean nothing from there on, so a tag ends at the next ``>``."""
+
+    def __init__(self, source: str):
+        self.source, self.broken = source, False
+
+    def after(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose name ends at ``at``; the page's size if none does."""
+        k = at
+        while not self.broken:
+            m = TAG_PART.search(self.source, k)
+            if m and m[0] == ">":
+                return m.start()
+            close = self.source.find(m[0][-1], m.end()) if m else -1
+            self.broken = close < 0
+            k = close + 1
+        end = self.source.find(">", at)
+        return end if end >= 0 else len(self.source)
+
+
 def dom(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """(block nodes in page order, texts with their node). Inline elements belong to the block around them."""
     nodes = [Node("html", -1, 0, [])]
     stack: list[tuple[str, int]] = [("html", 0)]
     texts: list[tuple[int, str]] = []
     at, link, size = 0, 0, len(source)
-    new_block, embedded = True, False
+    new_block, embedded, ends = True, False, TagEnds(source)
 
     def text(part: str) -> None:
         nonlocal new_block
@@ -91,6 +114,8 @@ def dom(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
         at = m.end()
         if not m[1]:
             continue
+        end = ends.after(at)
+        inner, at = source[at:end], end + 1
         tag = m[1].lower()
         if source[m.start() + 1] == "/":
             k = len(stack) - 1
@@ -106,7 +131,7 @@ def dom(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if foreign and stack[foreign][0] in FOREIGN and tag in BREAKS_OUT:
             pop_to(foreign)
             foreign = 0
-        if m[2].endswith("/") and (tag in FOREIGN or (foreign and stack[foreign][0] in FOREIGN)):
+        if inner.endswith("/") and (tag in FOREIGN or (foreign and stack[foreign][0] in FOREIGN)):
             continue
         embedded = embedded or tag in FOREIGN
         if tag in RAW:
@@ -135,7 +160,7 @@ def dom(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if name not in INLINE and not closes and name != "p":
                 break
         roles = []
-        for a in ATTRIBUTE.finditer(m[2]) if m[2] else ():
+        for a in ATTRIBUTE.finditer(inner) if inner else ():
             if a[1].lower() in ("class", "id", "role", "aria-label", "itemprop"):
                 for word in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", a[2] or a[3] or a[4] or ""):
                     if (r := _ROLE.get(word.lower())) is not None:
@@ -174,10 +199,14 @@ def features(nodes: list[Node], total_texts: int) -> np.ndarray:
         for i, c in enumerate(d.children):
             rank[c] = i
     up = np.maximum(parent, 0)
+    article = np.array([d.tag in ("article", "main") for d in nodes], np.float32)
+    for k in range(1, n):
+        article[k] = max(article[k], article[parent[k]])
     shape = (
         np.log1p(tree[:, 0]), np.log1p(own[:, 0]), tree[:, 1] / chars, tree[:, 3] / chars * 10, np.log1p(blocks), chars / blocks / 100, tree[:, 0] / whole,
         paragraphs / blocks, headings / blocks, items / blocks, np.array([d.depth for d in nodes]), rank, siblings, rank / np.maximum(1, siblings),
         np.array([d.start for d in nodes]) / max(1, total_texts), tree[up, 0] / whole, tree[:, 0] / np.maximum(1, tree[up, 0]), tree[up, 1] / np.maximum(1, tree[up, 0]), np.log1p(paragraphs[up]), tree[:, 2] / chars * 10,
+        article, np.full(n, article.max()),
     )
     x[:, :N_SHAPE] = np.column_stack(shape)
     for k, d in enumerate(nodes):
@@ -255,6 +284,43 @@ def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
     return kept
 
 
+def choose(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
+    """The labels of a page. A form is never main text, unless it holds half of the page's. On a page where
+    nothing with text would be kept, the likeliest article or main element (without any: the likeliest block) is,
+    with what is about as likely below it."""
+    chars = np.array([n.own[0] for n in nodes], np.int64)
+    for k in range(len(nodes) - 1, 0, -1):
+        chars[nodes[k].parent] += chars[k]
+    odds = odds.copy()
+    barred = np.zeros(len(nodes), bool)
+    for k, d in enumerate(nodes):
+        barred[k] = (d.parent >= 0 and barred[d.parent]) or (d.tag == "form" and 2 * chars[k] < chars[0])
+    odds[barred] = -1e6
+    chars_barred = np.array([n.own[0] * barred[k] for k, n in enumerate(nodes)], np.int64)
+    for k in range(len(nodes) - 1, 0, -1):
+        chars_barred[nodes[k].parent] += chars_barred[k]
+    kept = decode(nodes, odds)
+    if chars[0] and not any(kept[k] and d.own[0] for k, d in enumerate(nodes)):
+        able = [k for k, d in enumerate(nodes) if chars[k] > chars_barred[k] and not barred[k] and d.tag not in ("html", "head", "body")]
+        able = [k for k in able if nodes[k].tag in ("article", "main")] or able
+        if able:
+            best = max(able, key=lambda k: (odds[k], -k))
+            inside = np.zeros(len(nodes), bool)
+            inside[best] = True
+            for k in range(best + 1, len(nodes)):
+                inside[k] = inside[nodes[k].parent] and not barred[k]
+            held = max(odds[k] for k, d in enumerate(nodes) if inside[k] and d.own[0])
+            raised = np.where(barred, odds, odds + max(0.0, 1 - held))
+            up = best
+            while up > 0:
+                raised[up] = 1e6
+                up = nodes[up].parent
+            own = decode(nodes, raised)
+            for k in range(1, len(nodes)):  # only what is below the chosen block, and the way to it
+                kept[k] = raised[k] == 1e6 or (own[k] and inside[k])
+    return kept
+
+
 def main_text(source: str, trees: Trees) -> str:
     return extract_all([source], trees)[0]
 
@@ -266,7 +332,7 @@ def extract_all(pages: list[str], trees: Trees) -> list[str]:
     odds = trees.log_odds(np.concatenate([features(n, len(t)) for n, t in parsed]))
     out, done = [], 0
     for nodes, texts in parsed:
-        kept = decode(nodes, odds[done : done + len(nodes)])
+        kept = choose(nodes, odds[done : done + len(nodes)])
         done += len(nodes)
         parts = (" ".join(value.split()) for node, value in texts if kept[node] and nodes[node].tag not in ("html", "head", "body"))
         loose = (nodes[0].own[0] + sum(n.own[0] for n in nodes if n.tag == "body")) * 2 > sum(n.own[0] for n in nodes)
@@ -325,7 +391,9 @@ class Writer:
 
     def article(self) -> str:
         parts = []
-        for _ in range(int(self.r.integers(1, 12))):
+        if self.r.random() < 0.15:  # a note of a line or two, its bold text left open
+            parts.append(self.pick(f"<p><b>{self.words(1, 6)}<br>", f"<p>{self.words(1, 6).capitalize()}.</p>", f"<p><b>{self.words(1, 6)}<br><p>{self.prose(1, 2)}</p>"))
+        for _ in range(0 if parts else int(self.r.integers(1, 12))):
             kind = self.r.random()
             if kind < 0.68:
                 parts.append(self.pick(f"<p>{self.prose()}</p>", f"<p>{self.prose()}</p>", f"<p><b>{self.words(2, 8)}</b> {self.prose()}", f'<p>{self.prose(1, 3)} <a href="/x">{self.words(1, 3)}</a> {self.prose(1, 3)}</p>', f"<p>{self.words(1, 3).capitalize()}.</p>"))
@@ -340,7 +408,7 @@ class Writer:
             elif kind < 0.93:
                 parts.append(f"<pre>{self.words(4, 15)}</pre>")
             else:
-                parts.append(self.aside())
+                parts.append(self.pick(self.aside, self.aside, self.form)())
         title = self.pick(f"<h1>{self.words(3, 12)}</h1>", f"<header><h1>{self.words(3, 12)}</h1></header>", "")
         return self.box(("article", "main", "div", "section"), ("content", "post-content", "entry-content", "article-body", "story", "main", "text", ""), title + "".join(parts) + self.pick("", "", self.comments()), main=True)
 
@@ -397,7 +465,7 @@ def _extractor(shared, column: str, schema: pa.Schema):
 def extract(pages: DataFrame, *, column: str = "html", trees: Trees | None = None) -> DataFrame:
     """The other columns of ``pages`` with text and n_chars, which replace columns of those names.
 
-    Null html is empty and gives an empty text; text outside of any block counts only on pages that hold most
+    Null html is empty and gives an empty text; an empty table gives no rows; text outside of any block counts only on pages that hold most
     of their text so; repeated rows give a row each."""
     spark = pages.sparkSession
     source = pages.drop(*(n for n in ("text", "n_chars") if n != column))
