@@ -31,6 +31,8 @@ VIEWS = {
     "kingdoms": "SELECT r_name AS kingdom, 100 * r_regionkey + 1 AS min_node_id, 100 * r_regionkey + 99 AS node_id FROM region",
     "assigned": "SELECT o_orderkey AS nid, c_nationkey AS tax_id FROM orders JOIN customer ON o_custkey = c_custkey",
     "masks": """SELECT l_orderkey AS nid, 15 * l_linenumber AS s, 15 * l_linenumber + 12 AS e, l_linenumber % 3 AS method FROM lineitem""",
+    "mali": """SELECT l_orderkey AS ali, l_linenumber AS rid, 10 * l_linenumber AS s, 10 * l_linenumber + length(replace(aligned, '-', '')) AS e, aligned FROM (SELECT l_orderkey, l_linenumber,
+        translate(substr(md5(concat(CAST(l_orderkey AS VARCHAR(20)), '.', CAST(l_linenumber AS VARCHAR(20)))), 1, 24), '0123456789abcdef', 'ACGT-ACGT-acgx-P') AS aligned FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) y) x""",
     "known": "SELECT l_orderkey AS nid FROM lineitem WHERE l_quantity > 30",
     "pvalues": "SELECT l_orderkey * 10 + l_linenumber AS id, (l_orderkey * 7919 + l_linenumber * 104729) % 10000 / 1e4 AS p FROM lineitem",
     "scored": "SELECT l_orderkey * 10 + l_linenumber AS id, CAST(floor(l_extendedprice) AS BIGINT) AS value, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS hit FROM lineitem",
