@@ -36,6 +36,9 @@ VIEWS = {
     "blocked": """SELECT q, t, a, g, b, q_from, s_from, concat(CAST(a AS VARCHAR(9)), ',', CAST(b AS VARCHAR(9)), ',') AS sizes, concat(CAST(q_from AS VARCHAR(9)), ',', CAST(q_from + a AS VARCHAR(9)), ',') AS q_starts,
         concat(CAST(s_from AS VARCHAR(9)), ',', CAST(s_from + a + g AS VARCHAR(9)), ',') AS s_starts, concat('+', CAST(a AS VARCHAR(9)), '-', CAST(g AS VARCHAR(9)), '+', CAST(b AS VARCHAR(9))) AS q_ali, concat('+', CAST(a + g + b AS VARCHAR(9))) AS s_ali
         FROM (SELECT DISTINCT l_orderkey AS q, l_linenumber AS t, 5 + l_linenumber AS a, CAST(1 + l_orderkey % 4 AS INT) AS g, CAST(4 + l_orderkey % 3 AS INT) AS b, 10 * l_linenumber AS q_from, 7 * l_linenumber AS s_from FROM lineitem) y""",
+    "trees": """SELECT DISTINCT l_orderkey AS nid, l_linenumber - 1 AS node, CASE WHEN l_linenumber = 1 THEN -1 ELSE CAST(floor(l_linenumber / 2) AS INT) - 1 END AS parent,
+        CASE WHEN l_linenumber = 1 THEN 0 WHEN l_linenumber < 4 THEN 1 ELSE 2 END AS level, CASE WHEN l_linenumber = 1 THEN 0 WHEN l_linenumber < 4 THEN 60 * (l_linenumber - 2) ELSE 30 * (l_linenumber - 4) END AS s,
+        CASE WHEN l_linenumber = 1 THEN 120 WHEN l_linenumber < 4 THEN 60 * (l_linenumber - 1) ELSE 30 * (l_linenumber - 3) END AS e FROM lineitem""",
     "known": "SELECT l_orderkey AS nid FROM lineitem WHERE l_quantity > 30",
     "pvalues": "SELECT l_orderkey * 10 + l_linenumber AS id, (l_orderkey * 7919 + l_linenumber * 104729) % 10000 / 1e4 AS p FROM lineitem",
     "scored": "SELECT l_orderkey * 10 + l_linenumber AS id, CAST(floor(l_extendedprice) AS BIGINT) AS value, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS hit FROM lineitem",
