@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from domainforge.operators import aligned, files, mapped, spanning, tables
+from domainforge.operators import aligned, files, mapped, rules, spanning, tables
 from domainforge.operators import intervals as iv
 from domainforge.operators.graph import components
 from domainforge.operators.relational import SQL
@@ -224,6 +224,6 @@ def objective(spark: SparkSession, d: str) -> DataFrame:
 ORACLES["ALG-21"] = with_views("""SELECT query_nid, sbjct_nid, qs, s, family, round(CASE WHEN t <= 12 THEN 0.0 ELSE -ln(greatest(1e-20, 1 - least(0.999, t / 60.0))) + 0.05 * greatest(0, e - s - t) + 0.05 * greatest(0, qe - qs - t) END, 6) AS score
     FROM (SELECT l.*, d.s, d.e, d.family, least(d.e, l.qe) - greatest(d.s, l.qs) AS t FROM links l JOIN domains d ON d.nid = l.query_nid) x""")
 
-for _part in (aligned, mapped, files, tables):
+for _part in (aligned, mapped, files, tables, rules):
     QUERIES.update(_part.QUERIES)
     ORACLES.update(_part.ORACLES)

@@ -42,5 +42,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         step = materialize(_stars(_stars(now, True), False), "cc")
         discard(now)
         now = step
+    else:
+        raise RuntimeError(f"components are not complete after {max_rounds} rounds")
     root = now.groupBy("u").agg(F.min("v").alias("root"))
     return nodes.join(root, nodes.node == root.u, "left").select("node", F.coalesce("root", "node").alias("component"))

@@ -16,7 +16,6 @@ SQL: dict[str, str] = {
     "SRC-16": "SELECT query_nid, count(*) AS neighbours, count(DISTINCT sbjct_nid) AS partners, min(evalue) AS best FROM links GROUP BY query_nid",
     "SRC-19": "SELECT sbjct_nid, qs, qe, ss, se, evalue FROM links WHERE query_nid = 7",
     "SRC-21": "SELECT query_nid, sbjct_nid, qs, qe FROM links WHERE query_nid <> sbjct_nid",
-    "SRC-24": "SELECT nid, previous FROM (SELECT nid, lag(nid) OVER (ORDER BY nid) AS previous FROM lengths) x WHERE previous >= nid",
     "SRC-27": "SELECT pid, min(nid) AS nid FROM sequences GROUP BY pid",
     "SRC-29": "SELECT d.nid, d.family, count(*) AS n, min(d.s) AS first_start, max(d.e) AS last_end FROM domains d JOIN lengths l ON d.nid = l.nid WHERE d.family LIKE '%F' GROUP BY d.nid, d.family",
     "SRC-30": "SELECT q, t, weight, passed, naligned FROM tested",
@@ -32,8 +31,6 @@ SQL: dict[str, str] = {
     "PRJ-06": "SELECT s.nid, length(s.sequence) AS length, substring(s.sequence, 11, 40) AS slice FROM sequences s WHERE length(s.sequence) BETWEEN 60 AND 4000 AND s.nid IN (SELECT nid FROM known)",
     "PRJ-12": "SELECT t.tax_id, t.name, k.kingdom FROM taxa t LEFT JOIN kingdoms k ON t.node_id BETWEEN k.min_node_id AND k.node_id",
     "PRJ-14": "SELECT family, dense_rank() OVER (ORDER BY family) % 7 AS colour FROM (SELECT DISTINCT family FROM domains) x",
-    "PRJ-15": "SELECT name, CASE WHEN tax_id % 3 = 0 THEN 'red' WHEN tax_id % 3 = 1 THEN 'green' ELSE 'blue' END AS colour FROM taxa",
-    "PRJ-21": "SELECT evalue, qs FROM links WHERE evalue IS NOT NULL AND evalue <> 0",
     "PRJ-23": "SELECT DISTINCT sbjct_nid AS neighbour FROM links WHERE query_nid = 11",
     # ---- joins ----
     "JOI-08": f"SELECT DISTINCT d.family AS family, r.family AS other FROM domains d JOIN domains r ON d.nid = r.nid WHERE {D_R} > 0 AND d.family <> r.family",
@@ -45,7 +42,6 @@ SQL: dict[str, str] = {
         JOIN domains d ON d.nid = l.query_nid JOIN domains r ON r.nid = l.sbjct_nid WHERE d.family <> r.family GROUP BY least(d.family, r.family), greatest(d.family, r.family)""",
     "JOI-18": "SELECT d.nid, d.s, d.e, d.family FROM domains d LEFT JOIN lengths l ON d.nid = l.nid WHERE l.length IS NULL OR d.e <= l.length - 240",
     "JOI-19": "SELECT d.nid, d.s, d.e FROM domains d JOIN lengths l ON d.nid = l.nid WHERE d.s <= l.length - 300",
-    "JOI-20": "SELECT d.nid, d.s, d.e, d.family FROM domains d WHERE d.family IN (SELECT family FROM domains GROUP BY family HAVING count(*) > 1000)",
     "JOI-21": """SELECT nid, count(*) AS n, sum(e - s) AS residues, sum(CASE WHEN s > previous THEN s - previous ELSE 0 END) AS gap_residues FROM (
         SELECT nid, s, e, lag(e) OVER (PARTITION BY nid ORDER BY s, e) AS previous FROM domains) x GROUP BY nid""",
     "JOI-22": "SELECT DISTINCT family FROM units WHERE family NOT IN (SELECT concat('F', CAST(s_suppkey AS VARCHAR(20))) FROM supplier WHERE s_acctbal > 0)",
@@ -89,7 +85,6 @@ SQL: dict[str, str] = {
     "AGG-24": "SELECT family, sum(e - s) * count(*) AS weight, row_number() OVER (ORDER BY sum(e - s) * count(*) DESC, family) AS position FROM units GROUP BY family",
     "AGG-25": "SELECT sum(e - s) AS residues FROM domains WHERE family = 'NO'",
     "AGG-26": "SELECT family, count(DISTINCT nid) AS nsequences FROM units GROUP BY family",
-    "AGG-28": "SELECT DISTINCT family FROM (SELECT family, nid FROM units GROUP BY family, nid HAVING count(*) > 1) x",
     "AGG-29": "SELECT d.family, count(*) AS n, round(avg(d.e - d.s), 6) AS length, count(DISTINCT d.nid) AS nids FROM domains d JOIN orders o ON o.o_orderkey = d.nid WHERE o.o_orderpriority = '1-URGENT' GROUP BY d.family",
     "AGG-31": "SELECT family, min(s) AS first_start, max(e) AS last_end FROM units GROUP BY family",
     "AGG-32": "SELECT family, max(s) AS last_start, min(e) AS first_end FROM units GROUP BY family",
@@ -106,7 +101,6 @@ SQL: dict[str, str] = {
     "AGG-48": f"""SELECT reference, max(share) AS best FROM (SELECT r.family AS reference, d.family, round(1e0 * count(*) / max(t.n), 6) AS share FROM domains d JOIN refs r ON d.nid = r.nid
         JOIN (SELECT family, count(*) AS n FROM refs GROUP BY family) t ON t.family = r.family WHERE {D_R} > 0 GROUP BY r.family, d.family) x GROUP BY reference""",
     # ---- windows ----
-    "WIN-05": "SELECT nid, min_by(s, abs(s - 77) * 1000 + s) AS nearest FROM domains GROUP BY nid",
     "WIN-06": "SELECT nid, s, e, family, lead(s) OVER (PARTITION BY nid, family ORDER BY s, e) AS next_start, lag(s) OVER (PARTITION BY nid, family ORDER BY s, e) AS previous_start FROM domains",
     "WIN-07": "SELECT nid, s, e, count(*) OVER (PARTITION BY nid ORDER BY s RANGE BETWEEN 1 FOLLOWING AND 40 FOLLOWING) AS contacts FROM domains",
     "WIN-10": "SELECT family, row_number() OVER (ORDER BY family) AS number FROM (SELECT DISTINCT family FROM units) x",
@@ -126,13 +120,10 @@ SQL: dict[str, str] = {
         FROM units u LEFT JOIN (SELECT DISTINCT nid FROM known) k ON u.nid = k.nid GROUP BY u.family) x WINDOW w AS (ORDER BY nunits DESC, family ROWS UNBOUNDED PRECEDING)""",
     # ---- sorts ----
     "SRT-01": "SELECT q, t, weight, row_number() OVER (ORDER BY weight, q, t, naligned, passed) AS position FROM tested",
-    "SRT-02": "SELECT query_nid, sbjct_nid, qs, ss, evalue FROM (SELECT l.*, row_number() OVER (PARTITION BY query_nid ORDER BY evalue, sbjct_nid, qs, qe, ss) AS k FROM links l) x WHERE k <= 10 AND query_nid <> sbjct_nid AND evalue <= -2",
     "SRT-04": "SELECT nid, e - s AS length, row_number() OVER (ORDER BY e - s DESC, nid, s) AS position FROM domains WHERE family = 'AF'",
     "SRT-05": "SELECT family, length, rank() OVER (ORDER BY length DESC) AS position FROM (SELECT family, sum(e - s) AS length FROM units GROUP BY family) x",
     "SRT-06": "SELECT nid, length, row_number() OVER (ORDER BY length DESC, nid) AS position FROM sequences WHERE length > 200",
     "SRT-07": "SELECT nid, length FROM sequences WHERE length > 500 ORDER BY nid LIMIT 100",
-    "SRT-09": "SELECT max_by(bin, n * 1000 + bin) AS bin FROM (SELECT e - s AS bin, count(*) AS n FROM domains GROUP BY e - s) x",
-    "SRT-10": "SELECT min_by(bin, n * 1000 + bin) AS bin FROM (SELECT e - s AS bin, count(*) AS n FROM domains GROUP BY e - s) x",
     # ---- sets ----
     "SET-01": """SELECT count(x.nid) AS n1, count(y.nid) AS n2, count(*) AS both_, sum(CASE WHEN x.nid IS NOT NULL AND y.nid IS NOT NULL THEN 1 ELSE 0 END) AS inter,
         sum(CASE WHEN y.nid IS NULL THEN 1 ELSE 0 END) AS unique1, sum(CASE WHEN x.nid IS NULL THEN 1 ELSE 0 END) AS unique2
@@ -142,7 +133,6 @@ SQL: dict[str, str] = {
         FULL OUTER JOIN (SELECT e - s + 7 AS bin, count(*) AS n FROM refs GROUP BY e - s + 7) y ON x.bin = y.bin""",
     "SET-06": "SELECT DISTINCT nid, family FROM domains",
     "SET-07": "SELECT query_nid AS nid, 'unknown' AS problem FROM (SELECT query_nid FROM links EXCEPT SELECT nid FROM lengths) x UNION ALL SELECT nid, 'missing' FROM (SELECT nid FROM lengths EXCEPT SELECT query_nid FROM links) y",
-    "SET-08": "SELECT nid, count(*) AS n FROM domains GROUP BY nid HAVING count(*) > 6",
     "SET-10": "SELECT query_nid % 50 AS chunk, count(DISTINCT query_nid) AS found, min(query_nid) AS first_nid, max(query_nid) AS last_nid FROM links GROUP BY query_nid % 50",
     # ---- graph expressions ----
     "GRF-09": "SELECT query_nid, sbjct_nid, qs, CASE WHEN evalue > -5 THEN 200 ELSE 100 END - 100 * round(1e0 * (least(qe, se) - greatest(qs, ss)) / (greatest(qe, se) - least(qs, ss)), 6) AS weight FROM links WHERE least(qe, se) > greatest(qs, ss)",
@@ -168,7 +158,6 @@ SQL: dict[str, str] = {
     "SCL-05": "SELECT concat_ws('_', CAST(nid AS VARCHAR(20)), CAST(s AS VARCHAR(20)), CAST(e AS VARCHAR(20))) AS token, family FROM domains",
     "SCL-06": "SELECT concat('.', lpad(CAST(nid AS VARCHAR(20)), 10, '0'), '.', lpad(CAST(length AS VARCHAR(20)), 10, '0')) AS slice FROM lengths",
     "SCL-08": "SELECT nid, s AS zero_s, e AS zero_e, s + 1 AS one_s, e AS one_e, 400 - e AS reverse_s, 400 - s AS reverse_e FROM domains",
-    "SCL-10": "SELECT family, CASE WHEN min(s) = 20 THEN 'na' ELSE CAST(count(*) AS VARCHAR(20)) END AS shown FROM domains GROUP BY family",
     "SCL-11": "SELECT l.nid, coalesce(x.family, 'na') AS family FROM lengths l LEFT JOIN (SELECT nid, max(family) AS family FROM refs WHERE e - s > 30 GROUP BY nid) x ON l.nid = x.nid",
     # ---- tables and accessors ----
     "TBL-24": "SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS found FROM units WHERE nid = 5 AND family = 'F3'",
@@ -181,14 +170,9 @@ SQL: dict[str, str] = {
     "TBL-34": "SELECT nid, s, e, family FROM domains WHERE e - s >= 12",
     "TBL-35": "SELECT nid, s, e, family FROM domains WHERE nid <> 7",
     "TBL-37": "SELECT nid, s, e, concat('G', CAST(CAST(substring(family, 2, 9) AS INT) + 1000 AS VARCHAR(20))) AS family FROM units WHERE nid IN (SELECT nid FROM known)",
-    "TBL-41": "SELECT family FROM (SELECT family, count(*) AS u, count(DISTINCT nid) AS q FROM units GROUP BY family) x WHERE u BETWEEN 2 AND 2000 AND q >= 2",
     "TBL-45": "SELECT nid, s, e, CASE WHEN family = 'AF' THEN 'ZZ' ELSE family END AS family FROM domains",
     "TBL-46": "SELECT nid, s, e, family FROM domains WHERE family <> 'AF'",
     "TBL-47": "SELECT nid, s, e, family FROM domains WHERE family IN ('AF', 'RF')",
-    "TBL-51": "SELECT u.nid, u.s, u.e, u.family FROM units u WHERE u.family NOT IN (SELECT family FROM units GROUP BY family HAVING 1e0 * count(*) / count(DISTINCT nid) < 1.02)",
-    "TBL-52": "SELECT u.nid, u.s, u.e, u.family FROM units u WHERE u.family NOT IN (SELECT family FROM units GROUP BY family HAVING count(*) <= count(DISTINCT nid))",
-    "TBL-53": "SELECT family, count(*) AS n FROM units GROUP BY family HAVING count(*) > 1",
-    "TBL-55": "SELECT family FROM refs GROUP BY family HAVING count(*) = count(DISTINCT nid)",
     "TBL-58": "SELECT u.family, s.s_name AS description FROM (SELECT DISTINCT family FROM units) u LEFT JOIN supplier s ON u.family = concat('F', CAST(s.s_suppkey AS VARCHAR(20)))",
     "TBL-59": "SELECT nid, md5(sequence) AS hash FROM sequences WHERE md5(sequence) IN (SELECT md5(text) FROM documents WHERE doc_id = 10)",
     "TBL-60": "SELECT l.nid, CASE WHEN k.nid IS NOT NULL THEN 90 ELSE 100 END AS level FROM lengths l LEFT JOIN (SELECT DISTINCT nid FROM known) k ON k.nid = l.nid",
@@ -229,7 +213,6 @@ SQL: dict[str, str] = {
     "MKF-08": "SELECT concat('>', CAST(s.nid AS VARCHAR(20)), '_', CAST(d.s AS VARCHAR(20)), ' ', d.family) AS title, substring(s.sequence, d.s + 1, d.e - d.s) AS slice FROM sequences s JOIN units d ON d.nid = s.nid",
     "MKF-10": "SELECT u.family, CAST(coalesce(x.nlinks, 0) AS BIGINT) AS nlinks FROM (SELECT DISTINCT family FROM domains) u LEFT JOIN (SELECT a.family, count(DISTINCT b.family) AS nlinks FROM domains a JOIN domains b ON a.nid = b.nid AND a.family <> b.family GROUP BY a.family) x ON x.family = u.family",
     "MKF-11": "SELECT nid FROM (SELECT DISTINCT nid, 1 AS k FROM domains UNION ALL SELECT DISTINCT nid, 2 FROM refs UNION ALL SELECT DISTINCT nid, 3 FROM known) x GROUP BY nid HAVING count(*) = 3",
-    "MKF-16": "SELECT nid FROM domains GROUP BY nid HAVING count(*) = 1",
     "MKF-17": f"""SELECT d.nid, d.s, d.e, d.family, coalesce(sum(CASE WHEN r.method = 0 THEN {D_R} END), 0) AS m0, coalesce(sum(CASE WHEN r.method = 1 THEN {D_R} END), 0) AS m1
         FROM (SELECT nid, s, e, min(family) AS family FROM domains GROUP BY nid, s, e) d LEFT JOIN masks r ON d.nid = r.nid AND {D_R} > 0 GROUP BY d.nid, d.s, d.e, d.family""",
     "MKF-18": "SELECT d.nid, d.s, d.e, count(DISTINCT l.sbjct_nid) AS neighbours FROM (SELECT DISTINCT nid, s, e FROM domains) d LEFT JOIN links l ON l.query_nid = d.nid AND l.sbjct_nid <> d.nid AND least(d.e, l.qe) - greatest(d.s, l.qs) > 0 GROUP BY d.nid, d.s, d.e",

@@ -32,6 +32,8 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         live = materialize(base.join(x, "a").join(y, "b").where("ca <> cb").select("a", "b", "weight", "ca", "cb"), "forest")
         if live.isEmpty():
             break
+    else:
+        raise RuntimeError("the forest is not complete after all rounds")
     return chosen
 
 

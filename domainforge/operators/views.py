@@ -40,6 +40,7 @@ VIEWS = {
         CASE WHEN l_linenumber = 1 THEN 0 WHEN l_linenumber < 4 THEN 1 ELSE 2 END AS level, CASE WHEN l_linenumber = 1 THEN 0 WHEN l_linenumber < 4 THEN 60 * (l_linenumber - 2) ELSE 30 * (l_linenumber - 4) END AS s,
         CASE WHEN l_linenumber = 1 THEN 120 WHEN l_linenumber < 4 THEN 60 * (l_linenumber - 1) ELSE 30 * (l_linenumber - 3) END AS e FROM lineitem""",
     "texts": """SELECT l_orderkey AS nid, CASE l_linenumber % 5 WHEN 0 THEN CAST(l_linenumber AS VARCHAR(9)) WHEN 1 THEN concat(CAST(l_linenumber AS VARCHAR(9)), '.5') WHEN 2 THEN 'True' WHEN 3 THEN 'x,y' ELSE '# note' END AS v FROM lineitem""",
+    "parts": "SELECT l_partkey AS nid, 20 * l_linenumber AS s, 20 * l_linenumber + CAST(l_quantity AS INT) AS e, concat('F', CAST(l_suppkey AS VARCHAR(20)), '.', CAST(l_partkey % 40 AS VARCHAR(9))) AS family FROM lineitem",
     "known": "SELECT l_orderkey AS nid FROM lineitem WHERE l_quantity > 30",
     "pvalues": "SELECT l_orderkey * 10 + l_linenumber AS id, (l_orderkey * 7919 + l_linenumber * 104729) % 10000 / 1e4 AS p FROM lineitem",
     "scored": "SELECT l_orderkey * 10 + l_linenumber AS id, CAST(floor(l_extendedprice) AS BIGINT) AS value, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS hit FROM lineitem",

@@ -30,3 +30,13 @@ def join_parts(df: DataFrame, sums: DataFrame, names: list[str], after: bool = F
         over = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
         cumulated = [F.coalesce(F.sum(n).over(over), F.lit(0)).alias(n) for n in names]
     return df.join(F.broadcast(sums.select("part", *cumulated)), "part")  # a row for each range
+
+
+def with_previous(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with the value of the row before in ascending ``order`` (unique), over the whole table."""
+    parts = dealt(df, order)
+    last = parts.groupBy("part").agg(F.max_by(value, order).alias("_last"))
+    last = last.select("part", F.lag("_last").over(W.orderBy("part")).alias("_last"))  # a row for each range
+    inside = F.lag(value).over(W.partitionBy("part").orderBy(order))
+    first = F.row_number().over(W.partitionBy("part").orderBy(order)) == 1
+    return parts.join(F.broadcast(last), "part").withColumn(name, F.when(first, F.col("_last")).otherwise(inside)).drop("part", "_last")

@@ -14,9 +14,11 @@ UNKNOWN = 32 << 20
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share. The cluster names it in ``spark.checkpoint.dir``; only a
-    session without that setting (tests on one machine) gets a temporary folder."""
+    session on one machine without that setting (as in tests) gets a temporary folder."""
     found = spark.conf.get(DIR_KEY, None) or spark.sparkContext.getConf().get(DIR_KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{DIR_KEY} has to name a folder that all executors share")
         found = getattr(scratch_dir, "_own", None) or tempfile.mkdtemp(prefix="scratch-")
         scratch_dir._own = found
     return found.rstrip("/")
