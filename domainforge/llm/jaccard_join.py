@@ -37,7 +37,7 @@ NEIGHBOURHOOD_EVERY, SMALL_SET = 8, 40
 SIGNATURE_BYTES = 16 << 20
 #: A candidate component of at most so many shingles (8 bytes each) is verified in one place; larger ones in
 #: pairs, as stars.
-FAMILY = 1 << 19
+FAMILY = 2 << 20
 #: Sets whose signatures are made at once.
 SLICE_BYTES = 2 << 20
 SALT = np.uint64(0xA24BAED4963EE407)
