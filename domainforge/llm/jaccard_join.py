@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from domainforge.llm import textkit as tk
 from domainforge.operators.graph import components
-from domainforge.plans.scratch import discard, materialize, pieces
+from domainforge.plans.scratch import discard, materialize, pieces, release_shuffles
 
 SHINGLE = 5
 #: One bucket of counted shingles for so many bytes of input.
@@ -40,6 +40,9 @@ SIGNATURE_BYTES = 16 << 20
 FAMILY = 2 << 20
 #: Sets whose signatures are made at once.
 SLICE_BYTES = 2 << 20
+#: The filter of wanted ids has at least so many bits for each id, and at most so many in all; a text that it lets
+#: pass needlessly costs time and changes no result.
+FILTER_BITS, FILTER_MOST = 16, 1 << 29
 SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -106,16 +109,20 @@ def _shared_in_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
     cut = np.concatenate(([0], np.cumsum([len(x) for x in rows])))
-    counts = [np.bincount(r[twice[cut[k] : cut[k + 1]]]).astype(np.int32).tobytes() for k, r in enumerate(rows)]
-    return pd.DataFrame({"block": pdf["block"], "counts": counts, "docs": pdf["docs"]})
+    hits = [r[twice[cut[k] : cut[k + 1]]] for k, r in enumerate(rows)]
+    # the more buckets, the fewer shingles of a block are in each: a list of its rows is then shorter than counts of all
+    dense = [len(r) > 2 * (int(r.max()) + 1) if len(r) else False for r in hits]
+    counts = [np.bincount(r).astype(np.int32).tobytes() if d else None for r, d in zip(hits, dense)]
+    return pd.DataFrame({"block": pdf["block"], "counts": counts, "hits": [None if d else r.tobytes() for r, d in zip(hits, dense)], "docs": pdf["docs"]})
 
 
 def _by_text(pdf: pd.DataFrame) -> pd.DataFrame:
     head = np.frombuffer(next(x for x in pdf["docs"] if x is not None), np.int64).reshape(-1, 5)
     shared = np.zeros(len(head), np.int64)
-    for x in pdf["counts"]:
+    for x in pdf["counts"].dropna():
         own = np.frombuffer(x, np.int32)
         shared[: len(own)] += own
+    shared += np.bincount(np.frombuffer(b"".join(pdf["hits"].dropna()), np.uint16), minlength=len(head))
     ids = pd.array(head[:, 0], "Int64")
     ids[head[:, 1] == 1] = pd.NA
     return pd.DataFrame({"id": ids, "n": head[:, 2], "h1": head[:, 3], "h2": head[:, 4], "shared": shared})
@@ -189,20 +196,52 @@ def signatures(v: np.ndarray, at: np.ndarray, lows: list[int]) -> tuple[np.ndarr
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]), np.concatenate([np.full(len(x[0]), x[2]) for x in out])
 
 
-def _sets(text: str, chosen: bool = True):
-    """(c, n, set): the class key, size and shingles of each text; ``chosen`` rows say which class they have to
-    belong to in h1 and h2, as an id can have several texts."""
+def _bits(ids: np.ndarray, size: int) -> np.ndarray:
+    """The four bits of each id in a filter of ``size`` bits, a power of two, one row an id."""
+    h = tk.mix(np.asarray(ids).astype(np.int64).view(np.uint64) ^ SALT)
+    return np.column_stack([(tk.mix(h + np.uint64(k)) & np.uint64(size - 1)).astype(np.int64) for k in range(4)])
+
+
+def _filter_words(size: int):
+    def run(batches):
+        for batch in batches:
+            at = np.sort(_bits(batch.column(0), size).ravel())
+            if len(at):
+                word, first = np.unique(at >> 6, return_index=True)
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    return run
+
+
+def id_filter(ids: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of the ``n`` long ids of a one-column table, as 64-bit words."""
+    size = min(FILTER_MOST, max(64, 1 << (FILTER_BITS * n - 1).bit_length())) if n else 64
+    found = ids.mapInArrow(_filter_words(size), "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    out = np.zeros(size >> 6, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def passes(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _bits(ids, len(words) << 6)
+    return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
+
+
+def _sets(text: str, key: str, wanted=None):
+    """(c, n, set): the class key, size and shingles of each text, of those whose id passes the broadcast filter
+    ``wanted`` if there is one. Texts that pass by chance are of other classes or copies."""
     schema = pa.schema([("c", pa.int64()), ("n", pa.int64()), ("set", pa.binary())])
 
     def run(batches):
         for batch in batches:
+            if wanted is not None:
+                batch = batch.filter(pa.array(passes(wanted.value, batch.column(batch.schema.get_field_index(key)).to_numpy())))
             for part in tk.blocks(batch, text):
                 v, at = shingle_sets(part, text)
-                h1, h2 = set_keys(v, at)
-                ok = np.arange(part.num_rows)
-                if chosen:
-                    want = part.schema.get_field_index("h1"), part.schema.get_field_index("h2")
-                    ok = np.flatnonzero((h1 == np.asarray(part.column(want[0]))) & (h2 == np.asarray(part.column(want[1]))))
+                h1, _ = set_keys(v, at)
+                ok = np.unique(h1, return_index=True)[1]
+                ok = ok[np.diff(at)[ok] > 0]
                 yield pa.RecordBatch.from_arrays([pa.array(h1[ok]), pa.array(np.diff(at)[ok]), pa.array([v[at[r] : at[r + 1]].tobytes() for r in ok], pa.binary())], schema=schema)
 
     return run
@@ -373,19 +412,27 @@ def similarity_components(docs: DataFrame, *, key: str = "doc_id", text: str = "
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     buckets = pieces(docs, BUCKET_BYTES)
     counted = docs.mapInArrow(_to_buckets("text", "id", buckets), "bucket int, block long, rows binary, grams binary, docs binary")
-    shared = counted.groupBy("bucket").applyInPandas(_shared_in_bucket, "block long, counts binary, docs binary")
+    shared = counted.groupBy("bucket").applyInPandas(_shared_in_bucket, "block long, counts binary, hits binary, docs binary")
     profile = materialize(shared.groupBy("block").applyInPandas(_by_text, "id long, n long, h1 long, h2 long, shared long"), "profile")
+    release_shuffles(spark)
     classes = materialize(profile.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.max("shared").alias("shared")), "classes")
     partnered = classes.where("100 * shared >= 75 * n").select("id", "h1", "h2")
-    sets = docs.join(partnered.where("id is not null"), "id").mapInArrow(_sets("text"), "c long, n long, set binary")
+    # a filter finds their texts where they are: texts are never shuffled
+    named_ids = partnered.where("id is not null").select("id")
+    wanted = spark.sparkContext.broadcast(id_filter(named_ids, named_ids.count()))
+    sets = docs.where("id is not null").mapInArrow(_sets("text", "id", wanted), "c long, n long, set binary")
     # a class whose texts all have null keys is found by its hash
     nameless = partnered.where("id is null").select(F.col("h1").alias("c"))
-    sets = sets.unionAll(docs.where("id is null").mapInArrow(_sets("text", False), "c long, n long, set binary").join(nameless, "c", "left_semi"))
+    if not nameless.isEmpty():
+        sets = sets.unionAll(docs.where("id is null").mapInArrow(_sets("text", "id"), "c long, n long, set binary").join(nameless, "c", "left_semi"))
     sets = materialize(sets.dropDuplicates(["c"]), "sets")
+    wanted.unpersist()
+    release_shuffles(spark)
     largest = sets.agg(F.max("n")).first()[0] or 1
     narrow = pieces(sets, SIGNATURE_BYTES, 6)
     rows = sets.mapInArrow(_signature_rows(narrow, [*bands(largest), 2**62]), "bucket int, sigs binary, rows binary, docs binary")
     found = materialize(rows.groupBy("bucket").applyInPandas(_candidates, "a long, b long, members array<long>"), "candidates")
+    release_shuffles(spark)
     spokes = found.where("members is not null").select(F.element_at("members", 1).alias("a"), F.explode("members").alias("b"))
     family = components(found.where("a is not null").select("a", "b").unionAll(spokes)).select(F.col("node").alias("c"), F.col("component").alias("family"))
     family = family.join(sets.select("c", "n"), "c")
@@ -397,16 +444,19 @@ def similarity_components(docs: DataFrame, *, key: str = "doc_id", text: str = "
     small = tagged.where(F.col("count") <= FAMILY).select("family", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"), "members").distinct().repartition(n, "family").groupBy("family")
     links = small.cogroup(with_sets.repartition(n, "of").groupBy("of")).applyInPandas(lambda x, y: _family(x, y), "a long, b long")
     links = materialize(links, "links")
+    release_shuffles(spark)
     label = components(links)
     if not sized.where(F.col("count") > FAMILY).isEmpty():
         # large ones: first one partner of each set, then the stars between what is apart, then the lists
         wide = tagged.where(F.col("count") > FAMILY)
         pairs = materialize(wide.where("a is not null").select("a", "b").distinct(), "pairs")
         links = materialize(links.unionAll(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)), "links")
+        release_shuffles(spark)
         label = components(links)
         x, y = (label.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
         apart = pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
         links = materialize(links.unionAll(_verified(apart, sets)), "links")
+        release_shuffles(spark)
         label = components(links)
         lists = wide.where("members is not null").select("members").distinct().select(F.xxhash64("members").alias("list"), F.explode("members").alias("c"))
         named = F.coalesce("component", "c")
@@ -419,6 +469,7 @@ def similarity_components(docs: DataFrame, *, key: str = "doc_id", text: str = "
             .select("members")
         )
         links = materialize(links.unionAll(_verified(open_lists.mapInPandas(_across, "a long, b long").distinct(), sets)), "links")
+        release_shuffles(spark)
         label = components(links)
     class_label = classes.join(label.select(F.col("node").alias("h1"), "component"), "h1", "left").withColumn("root", F.coalesce("component", "h1"))
     named = class_label.groupBy("root").agg(F.min("id").alias("component_id"))

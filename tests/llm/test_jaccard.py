@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +64,37 @@ def test_large_families(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SLICE_BYTES", 3000)
     rows = corpus(8, 0.1)
     assert sorted(map(tuple, jaccard_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == plain(rows)
+
+
+def test_disk_at_size(spark, monkeypatch):
+    """Where no table is small enough to be broadcast, texts are not shuffled to find the chosen ones, and the
+    shuffles of a finished step are given up before the next ones write theirs."""
+    plans, steps = {}, []
+    write, release = jaccard_join.materialize, jaccard_join.release_shuffles
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()), steps.append(name), write(df, name))[-1])
+    monkeypatch.setattr(jaccard_join, "release_shuffles", lambda s: (steps.append("release"), release(s))[-1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = corpus(5, 0.0)
+        assert sorted(map(tuple, jaccard_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == plain(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Join" not in plans["sets"]
+    for name in ("profile", "sets", "candidates", "links"):
+        assert steps[steps.index(name) + 1] == "release", steps
+
+
+def test_counts_of_many_buckets():
+    """A bucket's rows for a block of many texts take two bytes a shared shingle, not four a text."""
+    rows, grams = np.arange(0, 30_000, 3000, dtype=np.uint16), np.arange(10, dtype=np.uint32)
+    one = {"rows": rows.tobytes(), "grams": grams.tobytes(), "docs": None}
+    out = jaccard_join._shared_in_bucket(pd.DataFrame([{"block": 0, **one}, {"block": 1, **one}]))
+    assert sum(len(x) for c in ("counts", "hits") if c in out for x in out[c].dropna()) <= 2 * 2 * len(rows)
+
+
+def test_filter_of_ids(spark):
+    ids = np.random.default_rng(1).integers(-(2**62), 2**62, 5000)
+    words = jaccard_join.id_filter(spark.createDataFrame([(int(x),) for x in ids], "id long"), len(ids))
+    assert jaccard_join.passes(words, ids).all()
+    assert jaccard_join.passes(words, np.arange(20_000)).mean() < 0.02
+    assert not jaccard_join.passes(jaccard_join.id_filter(spark.createDataFrame([], "id long"), 0), ids).any()
