@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from domainforge.llm import decontaminate as _decontaminate
 from domainforge.llm import jaccard_join, packing, quality, sanitise
-from domainforge.plans.scratch import materialize
+from domainforge.plans.scratch import materialize, release_shuffles
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document that names it; of repeated rows one."""
-    named = jaccard_join.similarity_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    rows = jaccard_join.similarity_components(docs).groupBy("doc_id").agg(F.count("*").alias("_rows"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_named"))
+    named = materialize(rows.where("_named").select(F.col("doc_id").alias("_kept"), "_rows"), "named")
+    release_shuffles(spark)
+
+    def of(some: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        """The texts are dealt once and not sorted: the ids of a part are hashed."""
+        return some.join(ids.select("_kept").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), how)
+
+    again = named.where("_rows > 1")
+    if again.isEmpty():
+        return of(docs, named, "left_semi")
+    return of(docs, named.where("_rows = 1"), "left_semi").unionByName(of(docs, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
