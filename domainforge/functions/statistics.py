@@ -20,9 +20,16 @@ def _log_gamma_half(n: Column) -> Column:
     return F.aggregate(steps, F.when(odd, math.log(math.pi) / 2).otherwise(0.0), lambda a, k: a + F.log(k / 2.0))
 
 
+def _even_tail(z: Column, df: Column) -> Column:
+    """exp(-z) times the sum of z ** k / k! for k below df / 2: the tail for even degrees of freedom, term by term."""
+    first = F.struct(F.exp(-z).alias("t"), F.exp(-z).alias("s"))
+    more = F.filter(F.sequence(F.lit(0), F.greatest((df / 2).cast("int") - 1, F.lit(0))), lambda k: k > 0)
+    return F.aggregate(more, first, lambda q, k: F.struct((q["t"] * z / k).alias("t"), (q["s"] + q["t"] * z / k).alias("s")), lambda q: q["s"])
+
+
 def chi_squared_tail(x: Column, df: Column) -> Column:
-    """Chance of a chi-squared value of at least ``x``; the incomplete gamma function by its series for small
-    values and by its continued fraction for large ones."""
+    """Chance of a chi-squared value of at least ``x``; for small even degrees of freedom a finite sum, else the
+    incomplete gamma function by its series for small values and by its continued fraction for large ones."""
     a, z = df / 2.0, x / 2.0
     scale = F.exp(-z + a * F.log(z) - _log_gamma_half(df.cast("int")))
     steps = F.sequence(F.lit(1), F.lit(STEPS))
@@ -30,7 +37,9 @@ def chi_squared_tail(x: Column, df: Column) -> Column:
     series = F.aggregate(steps, first, lambda q, n: F.struct((q["t"] * z / (a + n)).alias("t"), (q["s"] + q["t"] * z / (a + n)).alias("s")), lambda q: q["s"]) * scale
     down = F.sequence(F.lit(STEPS), F.lit(1), F.lit(-1))
     fraction = F.aggregate(down, z + 2.0 * STEPS + 1 - a, lambda f, n: z + 2.0 * n - 1 - a - n * (n - a) / f)
-    return F.when(x <= 0, 1.0).when(z < a + 1, 1 - series).otherwise(scale / fraction)
+    # exp(-z) is a normal number up to 700, so no term of the sum is lost
+    finite = (df % 2 == 0) & (df > 0) & (df <= 2 * STEPS) & (z <= 700)
+    return F.when(x <= 0, 1.0).when(finite, _even_tail(z, df)).when(z < a + 1, 1 - series).otherwise(scale / fraction)
 
 
 def stars(p: Column) -> Column:
