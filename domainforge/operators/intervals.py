@@ -14,8 +14,8 @@ def overlap(s1: Column | str, e1: Column | str, s2: Column | str, e2: Column | s
 
 def islands(df: DataFrame, keys: list[str], distance: int = 0, touching: bool = True) -> DataFrame:
     """Unions of intervals that overlap, touch, or lie at most ``distance`` apart (at less than ``distance``,
-    if not ``touching``). One sort by the keys serves both windows."""
-    order = W.partitionBy(*keys).orderBy("s", "e")
+    if not ``touching``). One sort by the keys serves both windows. Rows without a start or an end come last."""
+    order = W.partitionBy(*keys).orderBy(F.asc_nulls_last("s"), F.asc_nulls_last("e"))
     last = F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1))
     apart = F.col("s") - last
     fresh = F.when(last.isNull() | (apart > distance if touching else apart >= distance), 1).otherwise(0)
