@@ -12,13 +12,14 @@ def overlap(s1: Column | str, e1: Column | str, s2: Column | str, e2: Column | s
     return F.least(e1, e2) - F.greatest(s1, s2)
 
 
-def islands(df: DataFrame, keys: list[str], distance: int = 0, touching: bool = True) -> DataFrame:
+def islands(df: DataFrame, keys: list[str], distance: int = 0, touching: bool = True, alone: bool = False) -> DataFrame:
     """Unions of intervals that overlap, touch, or lie at most ``distance`` apart (at less than ``distance``,
-    if not ``touching``). One sort by the keys serves both windows. Rows without a start or an end come last."""
+    if not ``touching``). One sort by the keys serves both windows. Rows without a start or an end come last;
+    those without a start join the last union, or stand by themselves if ``alone``."""
     order = W.partitionBy(*keys).orderBy(F.asc_nulls_last("s"), F.asc_nulls_last("e"))
     last = F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1))
     apart = F.col("s") - last
-    fresh = F.when(last.isNull() | (apart > distance if touching else apart >= distance), 1).otherwise(0)
+    fresh = F.when(last.isNull() | (F.lit(alone) & F.col("s").isNull()) | (apart > distance if touching else apart >= distance), 1).otherwise(0)
     marked = df.withColumn("_fresh", fresh).withColumn("_island", F.sum("_fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
     return marked.groupBy(*keys, "_island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_island")
 
