@@ -136,7 +136,7 @@ def test_distances_to_the_end(spark, tmp_path):
     assert dict(rows(catalog.QUERIES["GRF-13"](spark, str(tmp_path)), "node", "depth")) == {k: k for k in range(13)}
 
 
-@pytest.mark.parametrize("name", ["INT-05", "TBL-68"])
+@pytest.mark.parametrize("name", ["INT-05", "TBL-68", "INT-01"])
 def test_islands_of_rows_without_values(spark, tmp_path, name):
     """Rows without a start or an end come last in the order of a family, as in the SQL; no two rows are equal."""
     duckdb = pytest.importorskip("duckdb")
