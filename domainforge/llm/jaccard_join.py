@@ -11,7 +11,9 @@
    and a second unit on segments with indexed neighbourhoods only where empty segments leave it short.
 4. Candidates are verified exactly on the sets. A long list gives a star to its first member; afterwards only
    members that are still in different components meet, so copies are never expanded into all pairs, and no
-   link between different components is lost.
+   link between different components is lost. Where a component is too large for one place, parities of its sets
+   bound what two of them share, and only pairs that the bound leaves meet as sets.
+5. What is dealt by signature or family goes in portions, so that the disk holds one of them at a time.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from domainforge.llm import textkit as tk
 from domainforge.operators.graph import components
-from domainforge.plans.scratch import discard, materialize, pieces, release_shuffles
+from domainforge.plans.scratch import discard, materialize, pieces, release_shuffles, size_hint
 
 SHINGLE = 5
 #: One bucket of counted shingles for so many bytes of input.
@@ -43,6 +45,10 @@ SLICE_BYTES = 2 << 20
 #: The filter of wanted ids has at least so many bits for each id, and at most so many in all; a text that it lets
 #: pass needlessly costs time and changes no result.
 FILTER_BITS, FILTER_MOST = 16, 1 << 29
+#: Bytes of sets or signatures that are shuffled at once: as many as the input is estimated to have, and at least these.
+ROOM = 256 << 20
+#: Bits of a set's parities: a power of two from its size up, within these bounds.
+PARITY_LEAST, PARITY_MOST = 64, 1 << 17
 SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -228,10 +234,43 @@ def passes(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
 
 
+def parities(v: np.ndarray) -> bytes:
+    """Of each cell of the universe, whether an odd number of the set's shingles is in it."""
+    width = min(max(PARITY_LEAST, 1 << (len(v) - 1).bit_length()), PARITY_MOST)
+    odd = np.bincount(((v >> np.uint64(11)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(marks: list[bytes]) -> np.ndarray:
+    """Parities of several sets, brought to the fewest cells that one of them has, as 64-bit words."""
+    words = min(len(m) for m in marks) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(m, np.uint64).reshape(-1, words), axis=0) for m in marks])
+
+
+def may_link(total, x: np.ndarray, y: np.ndarray):
+    """Whether sets of ``total`` shingles together may link: every cell that differs has a shingle of one set only,
+    so 2 * intersection <= total - cells."""
+    return total >= 7 * np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+SETS = "c long, n long, set binary, marks binary"
+
+
+def _chosen(words, keep: bool = True):
+    """Rows whose column ``c`` passes the broadcast filter, or fails it."""
+
+    def run(batches):
+        for batch in batches:
+            ok = passes(words.value, batch.column(batch.schema.get_field_index("c")).to_numpy())
+            yield batch.filter(pa.array(ok if keep else ~ok))
+
+    return run
+
+
 def _sets(text: str, key: str, wanted=None):
-    """(c, n, set): the class key, size and shingles of each text, of those whose id passes the broadcast filter
-    ``wanted`` if there is one. Texts that pass by chance are of other classes or copies."""
-    schema = pa.schema([("c", pa.int64()), ("n", pa.int64()), ("set", pa.binary())])
+    """(c, n, set, marks): the class key, size, shingles and parities of each text, of those whose id passes the
+    broadcast filter ``wanted`` if there is one. Texts that pass by chance are of other classes or copies."""
+    schema = pa.schema([("c", pa.int64()), ("n", pa.int64()), ("set", pa.binary()), ("marks", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -242,12 +281,14 @@ def _sets(text: str, key: str, wanted=None):
                 h1, _ = set_keys(v, at)
                 ok = np.unique(h1, return_index=True)[1]
                 ok = ok[np.diff(at)[ok] > 0]
-                yield pa.RecordBatch.from_arrays([pa.array(h1[ok]), pa.array(np.diff(at)[ok]), pa.array([v[at[r] : at[r + 1]].tobytes() for r in ok], pa.binary())], schema=schema)
+                own = [v[at[r] : at[r + 1]] for r in ok]
+                yield pa.RecordBatch.from_arrays([pa.array(h1[ok]), pa.array(np.diff(at)[ok]), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([parities(x) for x in own], pa.binary())], schema=schema)
 
     return run
 
 
-def _signature_rows(buckets: int, lows: list[int]):
+def _signature_rows(buckets: int, lows: list[int], portion: int = 0, portions: int = 1):
+    """The signatures of the sets by bucket, of every ``portions``-th bucket."""
     schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("rows", pa.binary()), ("docs", pa.binary())])
 
     def run(batches):
@@ -265,7 +306,7 @@ def _signature_rows(buckets: int, lows: list[int]):
                 order = np.argsort(bucket, kind="stable")
                 sig, flag = sig[order], (row.astype(np.uint16) | (probing.astype(np.uint16) << 15))[order]
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                used = np.flatnonzero(np.diff(cut))
+                used = np.flatnonzero((np.diff(cut) > 0) & (np.arange(buckets) % portions == portion))
                 heads = []
                 for b in used:
                     here = flag[cut[b] : cut[b + 1]]
@@ -332,17 +373,37 @@ def _candidates(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _across(batches):
-    """Pairs of a list's members that are in different components."""
-    for pdf in batches:
-        for members in pdf["members"]:
-            c = np.array([m["c"] for m in members], np.int64)
-            n = np.array([m["n"] for m in members], np.int64)
-            label = np.array([m["label"] for m in members], np.int64)
-            for k in range(len(c) - 1):
-                other = k + 1 + np.flatnonzero((label[k + 1 :] != label[k]) & fits(n[k], n[k + 1 :]))
-                if len(other):
-                    yield pd.DataFrame({"a": np.minimum(c[k], c[other]), "b": np.maximum(c[k], c[other])})
+def _across(forest: bool):
+    """Pairs of a list's members that are in different components and may link; if ``forest``, only as many as join
+    all of these components should each pair link."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("total", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                c, n, label = (batch.column(k)[row].values.to_numpy(zero_copy_only=False).copy() for k in range(3))
+                marks = _folded(batch.column(3)[row].as_py())
+                for k in range(len(c) - 1):
+                    other = k + 1 + np.flatnonzero((label[k + 1 :] != label[k]) & fits(n[k], n[k + 1 :]))
+                    other = other[may_link(n[k] + n[other], marks[other], marks[k])]
+                    if forest and len(other):
+                        joined, first = np.unique(label[other], return_index=True)
+                        other = other[first]
+                        label[np.isin(label, joined)] = label[k]
+                    if len(other):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[k], c[other])), pa.array(np.maximum(c[k], c[other])), pa.array(n[k] + n[other])], schema=schema)
+
+    return run
+
+
+def _possible(batches):
+    """Of pairs with sizes and parities those that may link."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("total", pa.int64())])
+    for batch in batches:
+        a, b, total, x, y = (batch.column(k) for k in range(5))
+        keep = [bool(may_link(total[k].as_py(), *_folded([x[k].as_py(), y[k].as_py()]))) for k in range(batch.num_rows)]
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask), total.filter(mask)], schema=schema)
 
 
 def _similar(p: np.ndarray, q: np.ndarray) -> bool:
@@ -395,10 +456,73 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], schema=schema)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    with_b = pairs.join(sets.select(F.col("c").alias("b"), F.col("set").alias("y")), "b")
-    both = with_b.join(sets.select(F.col("c").alias("a"), F.col("set").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
+def _words(ids: DataFrame):
+    """The broadcast filter of a one-column table of classes."""
+    return ids.sparkSession.sparkContext.broadcast(id_filter(ids, ids.count()))
+
+
+def _portions(volume: int, room: int) -> int:
+    return max(1, -(-int(volume or 0) // room))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, room: int) -> DataFrame:
+    """The links among written pairs, which have their common size ``total``. Each pair carries one of its sets
+    to the other, so they go in portions."""
+    spark = pairs.sparkSession
+    portions = _portions(pairs.agg(F.sum("total")).first()[0] or 0, max(1, room // 8))
+    out = None
+    for k in range(portions):
+        own = pairs.where(F.pmod(F.xxhash64("a"), F.lit(portions)) == k) if portions > 1 else pairs
+        words = _words(own.select(F.col("a").alias("c")).unionAll(own.select("b")).distinct())
+        near = sets.select("c", "set").mapInArrow(_chosen(words), "c long, set binary")
+        with_b = own.join(near.select(F.col("c").alias("b"), F.col("set").alias("y")), "b")
+        both = with_b.join(near.select(F.col("c").alias("a"), F.col("set").alias("x")), "a")
+        part = materialize(both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "verified")
+        words.unpersist()
+        release_shuffles(spark)
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def _resolve_wide(wide: DataFrame, links: DataFrame, sets: DataFrame, room: int) -> DataFrame:
+    """Links that join the members of the large families, added to ``links``: first one partner of each set, then the
+    pairs between what is apart, then the lists, first as if all that may link did."""
+    spark = wide.sparkSession
+    small = sets.select("c", "n", "marks")
+    sizes = {k: sets.select(F.col("c").alias(k), F.col("n").alias(f"n{k}")) for k in "ab"}
+    pairs = materialize(wide.where("a is not null").select("a", "b").distinct(), "pairs")
+    one = pairs.groupBy("b").agg(F.min("a").alias("a")).join(sizes["b"], "b").select("a", "b", (2 * F.col("nb")).alias("total"))
+    links = links.unionAll(_verified(materialize(one, "partners"), sets, room))
+    label = components(links)
+    x, y = (label.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
+    apart = pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    marked = apart.join(small.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("marks").alias("y")), "b").join(small.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("marks").alias("x")), "a")
+    possible = materialize(marked.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), "x", "y").mapInArrow(_possible, "a long, b long, total long"), "possible")
+    release_shuffles(spark)
+    links = links.unionAll(_verified(possible, sets, room))
+    lists = materialize(wide.where("members is not null").select("members").distinct().select(F.xxhash64("members").alias("list"), F.explode("members").alias("c")), "lists")
+    release_shuffles(spark)
+    for forest in (True, False):
+        label = components(links).select(F.col("node").alias("c"), "component")
+        labelled = materialize(lists.join(label, "c", "left").select("list", "c", F.coalesce("component", "c").alias("label")), "labelled")
+        release_shuffles(spark)
+        # few lists are open still: only their members are looked at
+        open_lists = labelled.groupBy("list").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("list")
+        members = (
+            labelled.join(open_lists, "list")
+            .join(small, "c")
+            .groupBy("list")
+            .agg(F.collect_list(F.struct("c", "n", "label", "marks")).alias("m"))
+            .select("m.c", "m.n", "m.label", "m.marks")
+        )
+        across = materialize(members.mapInArrow(_across(forest), "a long, b long, total long").distinct(), "across")
+        release_shuffles(spark)
+        links = links.unionAll(_verified(across, sets, room))
+        for used in (labelled, across):
+            discard(used)
+    for used in (pairs, possible, lists):
+        discard(used)
+    return links
 
 
 def similarity_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -420,63 +544,66 @@ def similarity_components(docs: DataFrame, *, key: str = "doc_id", text: str = "
     # a filter finds their texts where they are: texts are never shuffled
     named_ids = partnered.where("id is not null").select("id")
     wanted = spark.sparkContext.broadcast(id_filter(named_ids, named_ids.count()))
-    sets = docs.where("id is not null").mapInArrow(_sets("text", "id", wanted), "c long, n long, set binary")
+    sets = docs.where("id is not null").mapInArrow(_sets("text", "id", wanted), SETS)
     # a class whose texts all have null keys is found by its hash
     nameless = partnered.where("id is null").select(F.col("h1").alias("c"))
     if not nameless.isEmpty():
-        sets = sets.unionAll(docs.where("id is null").mapInArrow(_sets("text", "id"), "c long, n long, set binary").join(nameless, "c", "left_semi"))
-    sets = materialize(sets.dropDuplicates(["c"]), "sets")
+        sets = sets.unionAll(docs.where("id is null").mapInArrow(_sets("text", "id"), SETS).join(nameless, "c", "left_semi"))
+    every = sets = materialize(sets, "sets")
     wanted.unpersist()
     release_shuffles(spark)
-    largest = sets.agg(F.max("n")).first()[0] or 1
+    # copies that passed the filter and repeated rows: only sets that may be of such a class are shuffled
+    again = every.groupBy("c").count().where("count > 1").select("c")
+    if not again.isEmpty():
+        words = _words(again)
+        copies = materialize(every.mapInArrow(_chosen(words), SETS).dropDuplicates(["c"]), "copies")
+        sets = every.mapInArrow(_chosen(words, False), SETS).unionAll(copies)
+        release_shuffles(spark)
+    count, volume, largest = sets.agg(F.count("*"), F.sum("n"), F.max("n")).first()
+    volume, largest = volume or 0, largest or 1
+    room = max(ROOM, size_hint(docs))
     narrow = pieces(sets, SIGNATURE_BYTES, 6)
-    rows = sets.mapInArrow(_signature_rows(narrow, [*bands(largest), 2**62]), "bucket int, sigs binary, rows binary, docs binary")
-    found = materialize(rows.groupBy("bucket").applyInPandas(_candidates, "a long, b long, members array<long>"), "candidates")
-    release_shuffles(spark)
+    # about a signature for each shingle, of 10 bytes and a head of 16 for the bucket's signatures of a set
+    portions = min(narrow, _portions(volume * 10 + 16 * min(volume, count * narrow), room))
+    found = None
+    for k in range(portions):
+        rows = sets.mapInArrow(_signature_rows(narrow, [*bands(largest), 2**62], k, portions), "bucket int, sigs binary, rows binary, docs binary")
+        part = materialize(rows.groupBy("bucket").applyInPandas(_candidates, "a long, b long, members array<long>"), "candidates")
+        release_shuffles(spark)
+        found = part if found is None else found.unionAll(part)
     spokes = found.where("members is not null").select(F.element_at("members", 1).alias("a"), F.explode("members").alias("b"))
     family = components(found.where("a is not null").select("a", "b").unionAll(spokes)).select(F.col("node").alias("c"), F.col("component").alias("family"))
     family = family.join(sets.select("c", "n"), "c")
-    sized = materialize(family.join(family.groupBy("family").agg(F.sum("n").alias("count")), "family").drop("n"), "families")
-    tagged = found.withColumn("c", F.coalesce("a", F.element_at("members", 1))).join(sized, "c").drop("c")
-    with_sets = sets.join(sized.where(F.col("count") <= FAMILY).select("c", F.col("family").alias("of")), "c")
-    # small families: resolved where they are
-    n = max(narrow, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    small = tagged.where(F.col("count") <= FAMILY).select("family", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"), "members").distinct().repartition(n, "family").groupBy("family")
-    links = small.cogroup(with_sets.repartition(n, "of").groupBy("of")).applyInPandas(lambda x, y: _family(x, y), "a long, b long")
-    links = materialize(links, "links")
+    sized = materialize(family.join(family.groupBy("family").agg(F.sum("n").alias("count")), "family"), "families")
     release_shuffles(spark)
-    label = components(links)
-    if not sized.where(F.col("count") > FAMILY).isEmpty():
-        # large ones: first one partner of each set, then the stars between what is apart, then the lists
-        wide = tagged.where(F.col("count") > FAMILY)
-        pairs = materialize(wide.where("a is not null").select("a", "b").distinct(), "pairs")
-        links = materialize(links.unionAll(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)), "links")
-        release_shuffles(spark)
-        label = components(links)
-        x, y = (label.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
-        apart = pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        links = materialize(links.unionAll(_verified(apart, sets)), "links")
-        release_shuffles(spark)
-        label = components(links)
-        lists = wide.where("members is not null").select("members").distinct().select(F.xxhash64("members").alias("list"), F.explode("members").alias("c"))
-        named = F.coalesce("component", "c")
-        open_lists = (
-            lists.join(label.select(F.col("node").alias("c"), "component"), "c", "left")
-            .join(sets.select("c", "n"), "c")
-            .groupBy("list")
-            .agg(F.collect_list(F.struct("c", "n", named.alias("label"))).alias("members"), F.min(named).alias("lo"), F.max(named).alias("hi"))
-            .where("lo <> hi")
-            .select("members")
-        )
-        links = materialize(links.unionAll(_verified(open_lists.mapInPandas(_across, "a long, b long").distinct(), sets)), "links")
+    tagged = found.withColumn("c", F.coalesce("a", F.element_at("members", 1))).join(sized.drop("n"), "c").drop("c")
+    # small families: resolved where they are; their sets are shuffled twice
+    few = sized.where(F.col("count") <= FAMILY).select("c", "n", F.col("family").alias("of"))
+    n = max(narrow, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    portions = _portions(16 * (few.agg(F.sum("n")).first()[0] or 0), room)
+    small = tagged.where(F.col("count") <= FAMILY).select("family", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"), "members").distinct()
+    links = None
+    for k in range(portions):
+        here, own = small, few.select("c", "of")
+        if portions > 1:
+            here, own = (x.where(F.pmod(F.xxhash64(y), F.lit(portions)) == k) for x, y in ((here, "family"), (own, "of")))
+        words = _words(own.select("c"))
+        with_sets = sets.select("c", "set").mapInArrow(_chosen(words), "c long, set binary").join(own, "c")
+        part = here.repartition(n, "family").groupBy("family").cogroup(with_sets.repartition(n, "of").groupBy("of"))
+        part = materialize(part.applyInPandas(lambda x, y: _family(x, y), "a long, b long"), "links")
+        words.unpersist()
         release_shuffles(spark)
-        label = components(links)
+        links = part if links is None else links.unionAll(part)
+    wide = tagged.where(F.col("count") > FAMILY)
+    if not sized.where(F.col("count") > FAMILY).isEmpty():
+        links = _resolve_wide(wide, links, sets, room)
+    label = components(links)
     class_label = classes.join(label.select(F.col("node").alias("h1"), "component"), "h1", "left").withColumn("root", F.coalesce("component", "h1"))
     named = class_label.groupBy("root").agg(F.min("id").alias("component_id"))
     by_class = class_label.join(named, "root").select("h1", "h2", "component_id")
     full = profile.where("n > 0").join(by_class, ["h1", "h2"]).select("id", "n", "component_id")
     empty = profile.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    for used in (found, sets, sized):
+    for used in (every, sized):
         discard(used)
     return full.unionAll(empty).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 

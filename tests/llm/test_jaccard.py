@@ -98,3 +98,53 @@ def test_filter_of_ids(spark):
     assert jaccard_join.passes(words, ids).all()
     assert jaccard_join.passes(words, np.arange(20_000)).mean() < 0.02
     assert not jaccard_join.passes(jaccard_join.id_filter(spark.createDataFrame([], "id long"), 0), ids).any()
+
+
+def crowd(seed, members=50):
+    """Texts that share a line and little else, some with a near copy."""
+    r = random.Random(seed)
+    line = " ".join(f"c{k}" for k in range(14))
+    rows = []
+    for k in range(members):
+        own = [f"w{r.randrange(400)}" for _ in range(r.randint(24, 30))]
+        rows.append((2 * k, f"{line} {' '.join(own)}"))
+        if k % 5 == 0:
+            rows.append((2 * k + 1, f"{line} {' '.join(own[:-1])}"))
+    return rows
+
+
+@pytest.mark.parametrize("portions", [False, True])
+def test_crowds_are_not_paired_as_sets(spark, monkeypatch, portions):
+    """In a large family only pairs that may link are brought together as sets; portions give the same."""
+    monkeypatch.setattr(jaccard_join, "FAMILY", 0)
+    verified, pairs = jaccard_join._verified, []
+    monkeypatch.setattr(jaccard_join, "_verified", lambda p, *more: (pairs.append(p.count()), verified(p, *more))[-1])
+    if portions:
+        monkeypatch.setattr(jaccard_join, "ROOM", 40_000)
+        monkeypatch.setattr(jaccard_join, "size_hint", lambda df: 0)
+    rows = crowd(4)
+    assert sorted(map(tuple, jaccard_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == plain(rows)
+    assert sum(pairs) < 4 * len(rows), pairs
+
+
+def test_portions_of_small_families(spark, monkeypatch):
+    """Signatures and families in several portions, with rows that repeat."""
+    monkeypatch.setattr(jaccard_join, "ROOM", 60_000, raising=False)
+    monkeypatch.setattr(jaccard_join, "size_hint", lambda df: 0, raising=False)
+    rows = corpus(6, 0.1)
+    rows = rows + rows[:40]
+    steps, write = [], jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, name: (steps.append(name), write(df, name))[-1])
+    assert sorted(map(tuple, jaccard_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == plain(rows)
+    assert steps.count("candidates") > 1 and steps.count("links") > 1
+
+
+def test_parities_bound_what_sets_share():
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        n, common = int(r.integers(1, 700)), r.random()
+        x = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate((x[: int(common * len(x))], r.integers(0, 2**63, int(r.integers(1, n + 1)), dtype=np.uint64))))
+        both = len(np.intersect1d(x, y))
+        link = 100 * both >= 75 * (len(x) + len(y) - both)
+        assert not link or jaccard_join.may_link(len(x) + len(y), *jaccard_join._folded([jaccard_join.parities(x), jaccard_join.parities(y)]))
