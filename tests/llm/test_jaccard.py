@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,16 @@ def test_parities_bound_what_sets_share():
         both = len(np.intersect1d(x, y))
         link = 100 * both >= 75 * (len(x) + len(y) - both)
         assert not link or jaccard_join.may_link(len(x) + len(y), *jaccard_join._folded([jaccard_join.parities(x), jaccard_join.parities(y)]))
+
+
+def test_lists_of_unlike_sets_give_no_pairs():
+    """A list's members that share too little are not handed on to be compared as sets; like ones are."""
+    r = np.random.default_rng(7)
+    sets = [np.unique(r.integers(0, 2**63, 200, dtype=np.uint64)) for _ in range(40)]
+    sets.append(sets[0][:-4])
+    n = [len(x) for x in sets]
+    columns = [pa.array([list(range(41))], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), pa.array([list(range(41))], pa.list_(pa.int64())), pa.array([[jaccard_join.parities(x) for x in sets]], pa.list_(pa.binary()))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["c", "n", "label", "marks"])
+    for forest in (True, False):
+        pairs = [p for out in jaccard_join._across(forest)([batch]) for p in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+        assert (0, 40) in pairs and len(pairs) < 4
